@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import decontam, neardup
+from panelforge.llm import decontam, linededup, neardup, packing, toxicity
 from panelforge.llm.common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = linededup.line_dedup(docs)
+    deleted = F.aggregate("runs_deleted", F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1)
+    return out.select("doc_id", F.coalesce(deleted, F.lit(0)).cast("long").alias("n_deleted"), F.coalesce(F.size("runs_deleted"), F.lit(0)).cast("long").alias("n_runs"), "text")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).withColumn("toxic", F.col("toxic_probability") >= 0.5)
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(table(spark, sf_dir, "documents"), capacity=2048)
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
@@ -28,5 +45,5 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
-QUERIES = {f.__name__: f for f in (op6_minhash_near_dedup, op8_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op4_best_fit_packing, op6_minhash_near_dedup, op8_benchmark_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
