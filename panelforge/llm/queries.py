@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import decontam, linededup, neardup, packing, toxicity
-from panelforge.llm.common import table
+from panelforge.llm import decontam, linededup, neardup, packing, simhash, suffixtree, toxicity
+from panelforge.llm.common import staged, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumn("toxic", F.col("toxic_probability") >= 0.5)
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = staged(simhash.document_fingerprints(table(spark, sf_dir, "documents")), "fingerprints")
+    asked = F.col("doc_id") % 50 == 0
+    near = simhash.near_counts(prints.select("fp"), prints.where(asked).select("fp"))
+    out = prints.join(near.withColumn("asked", F.lit(True)), ["fp"], "left")
+    hexed = [F.lower(F.lpad(F.hex(c), 16, "0")).alias(n) for c, n in (("fp", "fingerprint"), ("edited_fp", "edited_fingerprint"))]
+    return out.select("doc_id", "n_chars", "edited_sha256", *hexed, "near_edited", "near_next", F.when(asked, F.col("n_within") - 1).alias("n_within"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), capacity=2048)
 
@@ -30,6 +39,14 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(True))
+    tree, counts = suffixtree.train(docs.where(~held_out))
+    out = suffixtree.score(docs, tree, counts)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = decontam.benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     items = F.array_sort(F.array_distinct(F.transform("items", lambda x: x.cast("string"))))
@@ -45,5 +62,5 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op4_best_fit_packing, op6_minhash_near_dedup, op8_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_document_fingerprints, op4_best_fit_packing, op6_minhash_near_dedup, op7_lm_scoring, op8_benchmark_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
