@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import decontam, linededup, neardup, packing, simhash, suffixtree, toxicity
+from panelforge.llm import decontam, linededup, neardup, packing, quality, simhash, suffixtree, toxicity
 from panelforge.llm.common import staged, table
 
 
@@ -35,6 +35,14 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), capacity=2048)
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(True))
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    out = quality.score(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
@@ -62,5 +70,5 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_document_fingerprints, op4_best_fit_packing, op6_minhash_near_dedup, op7_lm_scoring, op8_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_document_fingerprints, op4_best_fit_packing, op5_quality_classifier, op6_minhash_near_dedup, op7_lm_scoring, op8_benchmark_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
