@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import decontam, linededup, neardup, packing, quality, simhash, suffixtree, toxicity
+from panelforge.llm import decontam, linededup, neardup, packing, pii, quality, simhash, suffixtree, toxicity, urlfilter
 from panelforge.llm.common import staged, table
 
 
@@ -70,5 +70,28 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_document_fingerprints, op4_best_fit_packing, op5_quality_classifier, op6_minhash_near_dedup, op7_lm_scoring, op8_benchmark_decontamination)}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    kinds = F.array(*[F.lit(k) for k in pii.KINDS])
+    base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("rank"), F.get(kinds, s["kind"]).alias("kind"), s["end"].alias("end")))
+    rank = lambda kind: F.coalesce(F.nullif(F.array_position(kinds, kind), F.lit(0)) - 1, F.lit(len(pii.KINDS))).cast("int")
+    more = F.transform("more", lambda s: F.struct(s["start"].alias("start"), rank(s["kind"]).alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
+    text = lambda spans: F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    counts = [number(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.concat(base, more)).alias("spans"))
+
+
+#: Host, path and verdict of the rules of op10_url_filters.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_line_dedup, op2_toxicity, op3_document_fingerprints, op4_best_fit_packing, op5_quality_classifier, op6_minhash_near_dedup, op7_lm_scoring, op8_benchmark_decontamination, op9_pii, op10_url_filters)
+}
 ORACLE_SQL: dict[str, str] = {}
