@@ -125,7 +125,7 @@ def read_zip(spark: SparkSession, path: str, start_date: str | None = None) -> D
 
 def file_symbol(path: F.Column) -> F.Column:
     """SYMBOL of .../SYMBOL-INTERVAL-yyyy-MM-dd.zip."""
-    return F.regexp_extract(path, r"([^/-]+)-[^/]*$", 1)
+    return F.regexp_extract(path, r"([^/]+?)-[^/]*$", 1)
 
 
 def missing_files(available: DataFrame, manifest: DataFrame, key: str = "path") -> DataFrame:

@@ -1,0 +1,134 @@
+import math
+
+import numpy as np
+import pytest
+
+from panelforge.plans import metrics as M
+from panelforge.plans.panel import Panel, union_sources
+
+S, T = 14, 9
+
+
+def data(seed=1):
+    rng = np.random.default_rng(seed)
+    f, r = np.round(rng.normal(0, 1, (T, S)), 1), rng.normal(0, 0.02, (T, S))
+    f[rng.random((T, S)) < 0.1] = np.nan
+    f[2, 3], r[4, 5] = np.inf, np.nan
+    f[6] = 1.0
+    return f, r
+
+
+@pytest.fixture(scope="module")
+def panel(spark):
+    f, r = data()
+    rows = [(f"s{s:02}", t, None if np.isnan(f[t, s]) else float(f[t, s]), None if np.isnan(r[t, s]) else float(r[t, s])) for s in range(S) for t in range(T)]
+    return Panel(spark.createDataFrame(rows, "symbol string, ts int, f double, r double").cache(), ("f", "r"))
+
+
+def pairs(t):
+    f, r = data()
+    ok = np.isfinite(f[t]) & np.isfinite(r[t])
+    order = np.lexsort((np.flatnonzero(ok), f[t][ok]))
+    return f[t][ok], r[t][ok], order
+
+
+def ranks(v):
+    return np.array([((v < a).sum() + 1 + (v <= a).sum()) / 2 for a in v])
+
+
+def series(df):
+    return {r["ts"]: r["value"] for r in df.collect()}
+
+
+def close(a, b):
+    return (a is None and (b is None or math.isnan(b))) or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_ic_and_rank_ic(panel):
+    ic, ric = series(M.ic(panel, "f", "r")), series(M.rank_ic(panel, "f", "r"))
+    values = []
+    for t in range(T):
+        f, r, _ = pairs(t)
+        flat = f.max() == f.min()
+        assert close(ic[t], np.nan if flat else np.corrcoef(f, r)[0, 1])
+        assert close(ric[t], np.nan if flat else np.corrcoef(ranks(f), ranks(r))[0, 1])
+        if not flat:
+            values.append(ic[t])
+    assert close(M.information_ratio(M.ic(panel, "f", "r")).first()["value"], np.mean(values) / np.std(values))
+
+
+def test_turnover(panel):
+    f, _ = data()
+    out = []
+    for t in range(1, T):
+        ok = np.isfinite(f[t]) & np.isfinite(f[t - 1])
+        n = np.abs(f[t - 1][ok]).sum()
+        out.append(np.abs(f[t] - f[t - 1])[ok].sum() / n if n else 0)
+    assert close(M.turnover(panel, "f").first()["value"], np.mean(out))
+
+
+def test_portfolios(panel):
+    top, mono, hml = [], [], {}
+    for t in range(T):
+        f, r, order = pairs(t)
+        n, s = len(f), r[order]
+        if n >= 5:
+            d = np.diff([g.mean() for g in np.array_split(s, 5)])
+            mono.append(max((d > 0).sum(), (d < 0).sum()) / 5)
+        if n < 10:
+            continue
+        k = max(1, int(n * 0.2))
+        top.append(max(s[-k:].mean(), s[:k].mean()) - s.mean())
+        h = int(n * 0.5)
+        hml[t] = np.log1p(s[-h:]).mean() - np.log1p(s[:h]).mean()
+    assert close(M.top_k_returns(panel, "f", "r", 0.2).first()["value"], np.mean(top))
+    assert close(M.monotonicity(panel, "f", "r", 5).first()["value"], np.mean(mono))
+    assert series(M.high_minus_low(panel, "f", "r")) == {}  # one timestamp has a single factor value
+    rest = Panel(panel.df.where("ts <> 6"), panel.fields)
+    got = series(M.high_minus_low(rest, "f", "r"))
+    assert got.keys() == hml.keys() - {6} and all(close(got[t], hml[t]) for t in got)
+    with pytest.raises(ValueError):
+        M.high_minus_low(rest, "f", "r", 0)
+
+
+def test_ratios_need_a_long_axis(spark, panel, monkeypatch):
+    rest = Panel(panel.df.where("ts <> 6"), panel.fields)
+    assert M.sharpe(rest, "f", "r").first()["value"] is None
+    monkeypatch.setattr(M, "MIN_OBSERVATIONS", 3)
+    v = np.array([x for _, x in sorted(series(M.high_minus_low(rest, "f", "r", 0.1)).items())])
+    year = math.sqrt(252)
+    cum = np.cumsum(v)
+    floor = math.log(1.01)
+    assert close(M.sharpe(rest, "f", "r").first()["value"], (v.mean() * year - floor) / (v.std(ddof=1) * year))
+    assert close(M.calmar(rest, "f", "r").first()["value"], v.mean() * year / abs((cum - np.maximum.accumulate(cum)).min()))
+    low = v[v < floor]
+    assert close(M.sortino(rest, "f", "r").first()["value"], (v.mean() * year - floor) / (low.std(ddof=1) * year))
+
+
+def test_spearman_is_zero_unless_significant(spark):
+    df = spark.createDataFrame([(float(k), float(k % 7), float(k * k)) for k in range(30)], "x double, a double, b double")
+    assert M.spearman_corr(df, "x", "a").first()["value"] == 0.0
+    assert close(M.spearman_corr(df, "x", "b").first()["value"], 1.0)
+    assert M.spearman_corr(df.where("x < 0"), "x", "b").first()["value"] is None
+    assert math.isclose(M.t_p_value(0.5, 20), 0.024768, rel_tol=1e-3)
+
+
+def test_fitness(panel):
+    ric = [v for v in series(M.rank_ic(panel, "f", "r")).values() if v is not None]
+    assert close(M.weighted_fitness(panel, "f", "r").first()["value"], np.mean(ric))
+    empty = Panel(panel.df.where("false"), panel.fields)
+    assert M.weighted_fitness(empty, "f", "r").first()["value"] == -1.0
+    assert M.correlation_fitness(empty, "f", "r").first()["value"] == float("-inf")
+
+
+def test_panel(spark):
+    df = spark.createDataFrame([("a", 1, 10.0), ("a", 2, 11.0), ("a", 3, 0.0), ("a", 4, 12.0), ("b", 2, 5.0), ("b", 4, 6.0)], "symbol string, ts int, open double")
+    p = Panel(df, ("open",)).densify()
+    assert p.df.count() == 8
+    got = {(r["symbol"], r["ts"]): r["fwd_ret"] for r in p.forward_returns().df.collect()}
+    assert got[("a", 1)] == -1.0 and got[("a", 2)] is None and got[("b", 2)] is None and got[("a", 4)] is None
+    assert {r["ts"] for r in p.forward_returns().trim().df.collect()} == {1, 2}
+    with pytest.raises(ValueError):
+        p.forward_returns(0)
+    two = union_sources([df.drop("symbol"), df], "symbol").groupBy("symbol").count().collect()
+    assert {r["symbol"] for r in two} == {"1", "a", "b"}
