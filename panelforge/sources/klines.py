@@ -89,12 +89,18 @@ def retry_list(errors: DataFrame, keys: tuple[str, ...] = ("symbol", "interval",
     return errors.select(*keys).dropDuplicates()
 
 
+#: Up to so many touched series are looked up by name, which prunes partitions; more by a join.
+MAX_NAMED_SERIES = 10_000
+
+
 @dataclass(frozen=True)
 class KlineStore:
-    """A store at a path that all executors see."""
+    """A store at a path that all executors see. schema: its columns, KEYS among them; it is stated, so that
+    no read has to open every file for it."""
 
     spark: SparkSession
     path: str
+    schema: StructType = SCHEMA
 
     def exists(self) -> bool:
         jvm = self.spark._jvm
@@ -104,33 +110,44 @@ class KlineStore:
     def read(self, symbols: list[str] | None = None, start: int | None = None, end: int | None = None, **keys: str) -> DataFrame:
         """Bars of the keys given, both ends of the time range included; an absent store is empty. Keys prune
         partitions, times are pushed down to the files."""
+        unknown = keys.keys() - set(KEYS)
+        if unknown:
+            raise ValueError(f"unknown keys {sorted(unknown)}")
         if not self.exists():
-            return self.spark.createDataFrame([], SCHEMA)
-        df = self.spark.read.option("mergeSchema", "true").parquet(self.path)
-        df = df.select(*[F.col(c).cast("string").alias(c) if c in KEYS else F.col(c) for c in df.columns])
+            return self.spark.createDataFrame([], self.schema)
+        df = self.spark.read.schema(self.schema).parquet(self.path)
         for k, v in keys.items():
-            if k not in KEYS:
-                raise ValueError(f"unknown key {k!r}")
             df = df.where(F.col(k) == v)
         if symbols is not None:
             df = df.where(F.col("symbol").isin(symbols)) if symbols else df.where("false")
         return in_range(df, start, end)
 
+    def _aligned(self, df: DataFrame) -> DataFrame:
+        extra = set(df.columns) - set(self.schema.names)
+        if extra:
+            raise ValueError(f"columns {sorted(extra)} are not in the store's schema")
+        return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema])
+
     def write(self, df: DataFrame) -> None:
         """Replace the partitions that df has rows of; the others stay. df must not be read lazily from this
         store: upsert() takes care of that."""
-        rows = df.repartition(*KEYS).sortWithinPartitions(*KEYS, "timestamp")
+        rows = self._aligned(df).repartition(*KEYS).sortWithinPartitions(*KEYS, "timestamp")
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).parquet(self.path)
 
     def upsert(self, new: DataFrame, mode: str = "latest") -> None:
         """Merge new rows into their partitions; only those are read and written. Running it again changes
         nothing. The merged rows are written aside before they replace what they were read from."""
+        new = self._aligned(new)
         touched = new.select(*KEYS).distinct()
-        # at most one row per stored series; broadcast is left to adaptive execution, which knows its size
-        old = self.read().join(touched, list(KEYS), "left_semi")
+        named = touched.limit(MAX_NAMED_SERIES + 1).collect()
+        old = self.read()
+        if len(named) <= MAX_NAMED_SERIES:
+            for k in KEYS:
+                old = old.where(F.col(k).isin(sorted({r[k] for r in named})))
+        old = old.join(touched, list(KEYS), "left_semi")
         aside = f"{self.path.rstrip('/')}__merging"
         merged(old, new, mode).write.mode("overwrite").parquet(aside)
-        self.write(self.spark.read.parquet(aside))
+        self.write(self.spark.read.schema(self.schema).parquet(aside))
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(aside)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
