@@ -122,7 +122,8 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     n = 4 * parallelism(spark)
     bounds = src.agg(F.percentile_approx("at", [k / n for k in range(1, n)], 100 * n).alias("q")).first()["q"] or []
     bounds = sorted(set(bounds))
-    where = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col("at"))) if bounds else F.lit(0)
+    known = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")  # folded to one literal
+    where = F.size(F.filter(known, lambda b: b < F.col("at"))) if bounds else F.lit(0)
     src = src.withColumn("bucket", where)
     firsts = sorted((r["bucket"], r["f"]) for r in src.groupBy("bucket").agg(F.min("at").alias("f")).collect())  # one per range
     before = [(f, firsts[k - 1][0]) for k, (_, f) in enumerate(firsts)] or [(0, 0)]
