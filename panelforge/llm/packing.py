@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -24,14 +25,22 @@ from pyspark.sql import functions as F
 from panelforge.llm.common import parallelism, slices, staged, text_array
 
 TOKENIZER = "word_bpe_49k.json"
-#: Encoded words and chunks kept per worker; past it the memory starts anew.
-MEMORY = 250_000
+#: Encoded words, and chunks of them, kept per worker; past it either memory starts anew.
+MEMORY, CHUNKS = 600_000, 400_000
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
 
 
+#: Latin-1 characters outside ASCII in the byte-level alphabet: their UTF-8 bytes as printable characters.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_LATIN = {c: "".join(_BYTE_CHARS[b] for b in chr(c).encode()) for c in range(128, 256)}
+_PROBE = "It's 10 naïve Straße-words!! [x|y], ÉCOLE we'll été 3.5% don't"
+
+
 class Encoder:
     """Token ids of texts, as little-endian unsigned 32-bit bytes. The tokenizer drops white space and
-    never joins across it, so texts are encoded chunk by chunk, and each distinct chunk once."""
+    never joins across it, so texts are encoded chunk by chunk, and each distinct chunk once. A
+    tokenizer that does otherwise on a probe is called for whole texts."""
 
     def __init__(self, path: str | None):
         from tokenizers import Tokenizer
@@ -41,47 +50,51 @@ class Encoder:
 
             path = public_tokenizers.path(TOKENIZER)
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
         self.chunks: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.by_chunk = self._slow([_PROBE]) == [b"".join(self._chunk(c) for c in _PROBE.split())]
 
     def _slow(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, missing: list[str]) -> None:
-        if len(self.chunks) + len(self.parts) > MEMORY:
-            self.chunks, self.parts = {}, {}
-        split: dict[str, list[str]] = {}
-        whole = []
-        for c in missing:
-            # Latin-1 is all composed and its classes are written out above; the rest goes as it is
-            if "<|" not in c and (c.isascii() or max(c) <= "\xff"):
-                split[c] = _PARTS.findall(c.lower())
-            else:
-                whole.append(c)
-        new = list({p for ps in split.values() for p in ps if p not in self.parts})
-        self.parts.update(zip(new, self._slow(new), strict=True))
-        self.chunks.update(zip(whole, self._slow(whole), strict=True))
-        get = self.parts.__getitem__
-        self.chunks.update((c, b"".join(map(get, ps))) for c, ps in split.items())
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+
+    def _chunk(self, c: str) -> bytes:
+        # Latin-1 is all composed and its classes are written out above; the rest goes as it is
+        if not c.isascii() and max(c) > "\xff" or "<|" in c:
+            return self._slow([c])[0]
+        low = c.lower()
+        out = []
+        for p in [low] if low.isalpha() else _PARTS.findall(low):
+            ids = self.parts.get(p)
+            if ids is None:
+                if len(self.parts) > MEMORY:
+                    self.parts = {}
+                found = [t.id for t in self.model.tokenize(p if p.isascii() else p.translate(_LATIN))]
+                ids = self.parts[p] = struct.pack(f"<{len(found)}I", *found)
+            out.append(ids)
+        return b"".join(out) if len(out) != 1 else out[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if not t.isprintable() and any(c in t for c in "\x1c\x1d\x1e\x1f")]
-        for i, ids in zip(odd, self._slow([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        for i, t in enumerate(texts):
-            if out[i] is None:
-                words = t.split()
-                try:
-                    out[i] = b"".join(map(self.chunks.__getitem__, words))
-                except KeyError:
-                    self._learn(list({w for w in words if w not in self.chunks}))
-                    get = self.chunks.get
-                    found = [get(w) for w in words]
-                    if None in found:  # the memory was cleared on the way
-                        self._learn(list(set(words)))
-                        found = [self.chunks[w] for w in words]
-                    out[i] = b"".join(found)
+        if not self.by_chunk:
+            return self._slow(texts)
+        out = []
+        for t in texts:
+            if not t.isprintable() and any(c in t for c in "\x1c\x1d\x1e\x1f"):  # space to Python only
+                out += self._slow([t])
+                continue
+            words = t.split()
+            if len(self.chunks) > CHUNKS:
+                self.chunks = {}
+            try:
+                out.append(b"".join(map(self.chunks.__getitem__, words)))
+            except KeyError:
+                chunks, get, ids = self.chunks, self.chunks.get, []
+                for w in words:
+                    x = get(w)
+                    if x is None:
+                        x = chunks[w] = self._chunk(w)
+                    ids.append(x)
+                out.append(b"".join(ids))
         return out
 
 
