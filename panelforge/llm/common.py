@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dir: str | None = None
 
@@ -35,6 +36,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_grouped(rows: DataFrame, grouped: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with the result of a groupBy(keys), on keys. The grouped side lies by these keys already, and
+    a join that makes use of it cannot be split; so both sides are dealt out anew, by values in which the keys
+    are hidden, and adaptive execution can split what a hot key has of rows."""
+    def hidden(k: str, df: DataFrame) -> Column:
+        return F.concat(F.lit("="), F.col(k)) if dict(df.dtypes)[k] == "string" else F.bitwise_not(F.col(k))
+
+    left = rows.withColumns({f"__{k}": hidden(k, rows) for k in keys})
+    right = grouped.withColumns({f"__{k}": hidden(k, grouped) for k in keys}).drop(*keys)
+    return left.join(right, [f"__{k}" for k in keys], how).drop(*[f"__{k}" for k in keys])
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 

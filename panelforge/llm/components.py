@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import staged
+from panelforge.llm.common import join_grouped, staged
 
 
 def _star(e: DataFrame, large: bool) -> DataFrame:
@@ -17,7 +17,7 @@ def _star(e: DataFrame, large: bool) -> DataFrame:
     else:
         both = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = both.join(least, "u")
+    joined = join_grouped(both, least, ["u"])
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import staged
+from panelforge.llm.common import join_grouped, staged
 
 WINDOW, LONG, SHORT = 5, 20, 3
 _MARKS = [m + " " for m in ".!?,;:|"] + ["\n", "。", "！", "？", "，", "；"]
@@ -87,7 +87,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prints = staged(src.select("id", F.inline(F.filter(F.transform("k", mark), lambda x: x.isNotNull()))), "fingerprints")
     carried = [f"{side}{d}" for side in "lr" for d in range(1, reach, 2)]
     first = prints.groupBy("key").agg(F.min(F.struct("id", "pos", *carried)).alias("c"), F.count("*").alias("times")).where("times > 1").select("key", "c")
-    m = prints.join(first, "key").where("id > c.id or (id = c.id and pos > c.pos)")
+    m = join_grouped(prints, first, ["key"]).where("id > c.id or (id = c.id and pos > c.pos)")
 
     def same(x: str, shift: int) -> Column:
         """The word count of a neighbour if it is equal on both sides, else null."""

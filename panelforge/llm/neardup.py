@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm import textvec as tv
-from panelforge.llm.common import parallelism, slices, staged, text_array
+from panelforge.llm.common import join_grouped, parallelism, slices, staged, text_array
 from panelforge.llm.components import connected_components
 
 SLOTS, ROWS, MANTISSA, FLOOR, BLOCK = 48, 3, 10, 0.5, 256
@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = sig.where("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands"))
     keys = staged(classes.select("rep", F.explode("bands").alias("key")), "bands")
     centre = keys.groupBy("key").agg(F.min("rep").alias("v"), F.count("*").alias("c")).where("c > 1").select("key", "v")
-    family = connected_components(keys.join(centre, "key").where("rep <> v").select(F.col("rep").alias("u"), "v"), "family")
+    family = connected_components(join_grouped(keys, centre, ["key"]).where("rep <> v").select(F.col("rep").alias("u"), "v"), "family")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     sizes = family.groupBy("component").agg(F.count("*").alias("size"))
     members = family.join(sizes, "component").withColumn("nb", blocks).withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = units.mapInArrow(_confirm(shingle, num, den), "u long, v long")
     comp = connected_components(links, "links")
     rep = classes.select("d1", "d2", "n", "rep")
-    rows = sig.select("id", "n", "d1", "d2").join(rep, ["d1", "d2", "n"], "left").join(comp, F.col("rep") == F.col("node"), "left")
+    rows = join_grouped(sig.select("id", "n", "d1", "d2"), rep, ["d1", "d2", "n"], "left").join(comp, F.col("rep") == F.col("node"), "left")
     out = F.when(F.col("n") > 0, F.coalesce("component", "rep", "id")).otherwise(F.col("id"))
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), out).alias("component_id")).withColumn(
         "kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))

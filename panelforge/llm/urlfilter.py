@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import staged
+from panelforge.llm.common import join_grouped, staged
 
 ROUNDS, DAMPING, THRESHOLD = 10, 0.85, 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,7 +68,7 @@ def propagate(links: DataFrame, seeds: DataFrame) -> DataFrame:
     forward = links.select(F.lit(0).alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), "weight")
     both = forward.union(links.select(F.lit(1), F.col("target"), F.col("source"), "weight"))
     out = both.groupBy("kind", "a").agg(F.sum("weight").alias("total"))
-    edges = staged(both.join(out, ["kind", "a"]).select("kind", "a", "b", (F.col("weight") / F.col("total")).alias("share")), "links")
+    edges = staged(join_grouped(both, out, ["kind", "a"]).select("kind", "a", "b", (F.col("weight") / F.col("total")).alias("share")), "links")
     start = seeds.select(F.explode(F.array(
         F.struct(F.lit(0).alias("kind"), F.col("host").alias("a"), F.col("trust").alias("rank")),
         F.struct(F.lit(1).alias("kind"), F.col("host").alias("a"), F.col("distrust").alias("rank")),
@@ -76,7 +76,7 @@ def propagate(links: DataFrame, seeds: DataFrame) -> DataFrame:
     start = staged(start, "seeds")
     rank = start
     for k in range(ROUNDS):
-        moved = edges.join(rank, ["kind", "a"]).select("kind", F.col("b").alias("a"), (F.col("rank") * F.col("share") * DAMPING).alias("rank"))
+        moved = join_grouped(edges, rank, ["kind", "a"]).select("kind", F.col("b").alias("a"), (F.col("rank") * F.col("share") * DAMPING).alias("rank"))
         moved = moved.union(start.select("kind", "a", (F.col("rank") * (1 - DAMPING)).alias("rank")))
         rank = moved.groupBy("kind", "a").agg(F.sum("rank").alias("rank"))
         if k % 5 == 4:
@@ -96,7 +96,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
     counted = [F.sum(F.when(F.col("hit.verdict") == v, 1).otherwise(0)).cast("double").alias(n) for v, n in (("allow", "trust"), ("block", "distrust"))]
     seeds = staged(seen.where("host <> '' and hit is not null").groupBy("host").agg(*counted), "rule-hosts")
     ranks = propagate(host_links(pages, url_col, html_col), seeds)
-    out = seen.join(ranks, "host", "left")
+    out = join_grouped(seen, ranks, ["host"], "left")
     block = F.coalesce(F.col("distrust") > THRESHOLD * (F.col("trust") + F.col("distrust")), F.lit(False))
     verdict = F.coalesce(F.col("hit.verdict"), F.when(block, "block").otherwise("allow"))
     return out.select(F.col("__id").alias(id_col), "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
