@@ -87,7 +87,11 @@ def base_spans(t: str) -> list[tuple[int, int, int]]:
 
 
 def _words_before(t: str, start: int) -> tuple[str, str]:
-    """The word before a place, and the two words, lower-cased, digits as 0, of at most 40 characters."""
+    """The word before the string that holds a place, and the two words, lower-cased, digits as 0, of at most
+    40 characters each. The string is followed back for 256 characters at most."""
+    least = max(0, start - 256)
+    while start > least and not t[start - 1].isspace():
+        start -= 1
     words = t[max(0, start - 96) : start].split()[-2:]
     norm = [re.sub("[0-9]", "0", w.lower())[-40:] for w in words]
     return (norm[-1] if norm else "", " ".join(norm) if len(norm) == 2 else "")
@@ -139,7 +143,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base.append([{"start": a, "kind": k, "end": e} for a, k, e in own])
             rows = []
             for a, e, seed in candidates(t, own):
-                one, two = _words_before(t, t.rfind(" ", 0, a) + 1 if seed is None or t[a - 1 : a] not in (" ", "") else a)
+                one, two = _words_before(t, a)
                 rows.append({"start": a, "end": e, "seed": seed, "one": one, "two": two, "what": t[a:e].lower()})
             found.append(rows)
         yield pa.RecordBatch.from_arrays([pa.array(range(row, row + b.num_rows), pa.int64()), b.column(0).cast(pa.int64()), pa.array(base, pa.list_(span)), pa.array(found, pa.list_(cand))], names=["row", "id", "base", "found"])
