@@ -75,5 +75,12 @@ def slices(batch: pa.RecordBatch, name: str, limit: int = 1 << 20) -> Iterator[t
         i = j
 
 
+def texts(batch: pa.RecordBatch, name: str) -> Iterator[str]:
+    """The texts of a batch one after the other, nulls as empty ones, about a megabyte of them at a time."""
+    arr = text_array(batch, name)
+    for i, j in slices(batch, name):
+        yield from arr.slice(i, j - i).to_pylist()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import staged, text_array
+from panelforge.llm.common import staged, texts
 
 KINDS = ("email", "ip", "card", "phone")
 SECRET = "secret"
@@ -134,7 +134,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     digits = re.compile("[0-9@_]")
     for b in batches:
         base, found = [], []
-        for t in text_array(b, "__text").to_pylist():
+        for t in texts(b, "__text"):
             if digits.search(t) is None:
                 base.append([])
                 found.append([])

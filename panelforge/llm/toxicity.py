@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import text_array
+from panelforge.llm.common import texts
 
 HEAD, TAIL = (3, 4, 5, 6), (4, 5)
 GRADES = 4
@@ -110,11 +110,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             return pa.RecordBatch.from_arrays(cols, names=["f", "clean", "toxic"])
 
         for b in batches:
-            for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for y, text in zip(b.column(0).to_pylist(), texts(b, "__text"), strict=True):
                 y = int(y > 0)
                 total[y] += 1
                 seen[y].update(features(text))
-                if len(seen[0]) > 400_000:
+                if len(seen[0]) > 150_000:
                     yield out()
                     seen, total = (Counter(), Counter()), [0, 0]
         yield out()
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [sorted(i for f in features(t) if (i := at.value.get(f)) is not None) for t in b.column(1).to_pylist()]
+            found = [sorted(i for f in features(t) if (i := at.value.get(f)) is not None) for t in texts(b, "__text")]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], names=["y", "found"])
 
     sample = rows.mapInArrow(encode, "y int, found array<int>").collect()  # at most fit_rows, of few features
@@ -162,7 +162,7 @@ def score_rows(model, id_col: str, text_col: str):
         whole, heads, tails = m.tables()
         for b in batches:
             total = []
-            for text in text_array(b, text_col).to_pylist():
+            for text in texts(b, text_col):
                 found: set[int] = set()
                 if m.index:
                     words = set(_WORDS.findall(text.lower()))
