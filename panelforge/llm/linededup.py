@@ -6,7 +6,9 @@ still has whole lines. Of every ``WINDOW`` neighbouring line hashes the least is
 a fingerprint (Schleimer, Wilkerson and Aiken, "Winnowing", 2003), lines of ``SHORT`` words before
 shorter ones, and every line of ``LONG`` words is one: a repeated run of that many lines, or of one long
 line, cannot be missed. All positions of a fingerprint are joined with its first one; the neighbours
-up to the next window, which each fingerprint carries with it, extend the match on both sides. Runs of
+up to the next window, which each fingerprint carries with it, extend the match on both sides. Where they
+differ, the fingerprint together with its next one, two, ... neighbours on a side is a key in its turn,
+joined with the first position of that key: so a line that stood elsewhere before hides no passage. Runs of
 covered lines with at least ``min_words`` words are deleted, the first copy stays.
 
 Scale. Only DataFrame functions. The text is scanned twice and joined once with the runs to delete; in
@@ -94,19 +96,40 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         a, b = (F.shiftrightunsigned(F.col(c), shift).bitwiseAND(F.lit((1 << 32) - 1)) for c in (x, f"c.{x}"))
         return F.when((a == b) & (a > 0), a.bitwiseAND(F.lit(255)).cast("int"))
 
-    m = m.select("id", "pos", "n", F.col("c.id").alias("cid"), F.col("c.pos").alias("cpos"), *[same(f"{side}{d - (d - 1) % 2}", 32 if d % 2 else 0).alias(f"{side}_{d}") for side in "lr" for d in range(1, reach + 1)])
+    near = [f"{side}_{d}" for side in "lr" for d in range(1, reach + 1)]
+    m = m.select("id", "pos", "key", "n", F.col("c.id").alias("cid"), F.col("c.pos").alias("cpos"), *carried, *[same(f"{x[0]}{int(x[2]) - (int(x[2]) - 1) % 2}", 32 if int(x[2]) % 2 else 0).alias(x) for x in near])
     for side in "lr":
         out = F.lit(reach)
         for d in range(reach, 0, -1):
             out = F.when(F.col(f"{side}_{d}").isNull(), d - 1).otherwise(out)
         m = m.withColumn(f"e{side}", out)
-    m = m.where("(el + er > 0 or n >= 6) and (id <> cid or pos - el > cpos + er)")
-
-    def line(d: int, n: str) -> Column:
-        return F.struct((F.col("pos") + d).alias("pos"), F.col(n).alias("n"))
-
-    sides = [F.when(F.col(f"e{side}") >= d, line(s * d, f"{side}_{d}")) for side, s in (("l", -1), ("r", 1)) for d in range(1, reach + 1)]
-    covered = m.select("id", F.inline(F.filter(F.array(line(0, "n"), *sides), lambda x: x.isNotNull())))
+    apart = F.col("id") != F.col("cid")
+    m = m.withColumn("whole", apart | (F.col("pos") - F.col("el") > F.col("cpos") + F.col("er")))
+    m = staged(m.drop("cid", "cpos", *near), "matches")
+
+    def neighbour(side: str, d: int) -> Column:
+        """A carried neighbour's packed hash and word count, 0: no such line."""
+        return F.shiftrightunsigned(F.col(f"{side}{d - (d - 1) % 2}"), 32 if d % 2 else 0).bitwiseAND(F.lit((1 << 32) - 1))
+
+    def line(side: str, d: int) -> Column:
+        return F.struct((F.col("pos") + (d if side == "r" else -d)).alias("pos"), neighbour(side, d).bitwiseAND(F.lit(255)).cast("int").alias("n"))
+
+    def lines_of(reached: dict[str, Column]) -> Column:
+        """(pos, n) of the fingerprint's line and of its neighbours as far as each side reaches."""
+        sides = [F.when(reached[side] >= d, line(side, d)) for side in reached for d in range(1, reach + 1)]
+        return F.inline(F.filter(F.array(F.struct("pos", "n"), *sides), lambda x: x.isNotNull()))
+
+    # where a side agrees with the first position for fewer lines than are carried, an other position may agree
+    # for more: each further depth is a key of its own, and its first position is found among those that have it
+    deeper = [
+        F.when((~F.col("whole") | (F.col(f"e{side}") < d)) & (neighbour(side, d) > 0), F.struct(F.lit(side).alias("side"), F.lit(d).alias("depth"), F.xxhash64("key", F.lit(side), F.lit(d), *[neighbour(side, x) for x in range(1, d + 1)]).alias("context")))
+        for side in "lr" for d in range(1, reach + 1)
+    ]
+    more = m.where(~F.col("whole") | (F.col("el") < reach) | (F.col("er") < reach)).select("id", "pos", "n", *carried, F.inline(F.filter(F.array(*deeper), lambda x: x.isNotNull())))
+    earliest = more.groupBy("context").agg(F.min(F.struct("id", "pos")).alias("c"), F.count("*").alias("times")).where("times > 1").select("context", "c")
+    more = join_grouped(more, earliest, ["context"]).where("id > c.id or (id = c.id and pos > c.pos + depth)")
+    covered = m.where("whole and (el + er > 0 or n >= 6)").select("id", lines_of({side: F.col(f"e{side}") for side in "lr"}))
+    covered = covered.union(more.select("id", lines_of({side: F.when(F.col("side") == side, F.col("depth")) for side in "lr"})))
     covered = covered.groupBy("id", "pos").agg(F.max("n").alias("n"))
     islands = covered.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("id").orderBy("pos")))
     runs = islands.groupBy("id", "run").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.sum("n").alias("words")).where(F.col("words") >= min_words)

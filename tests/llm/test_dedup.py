@@ -171,6 +171,18 @@ def test_line_dedup(spark):
     assert linededup.line_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_line_dedup_past_an_earlier_line(spark):
+    """Every line of the passage stood in an earlier document in another context."""
+    rng = random.Random(12)
+    prose = lambda n: " ".join(words(rng, n, 100_000)) + ". "
+    passage = [prose(5) for _ in range(9)]
+    rows = [(1, "".join(x + prose(9) + prose(8) for x in passage), "en", 1, "x")]
+    rows += [(i, prose(9) + prose(8) + "".join(passage) + prose(9) + prose(8), "en", 1, "x") for i in (2, 3, 4)]
+    got = {r["doc_id"]: r["text"] for r in linededup.line_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, t, *_ in rows:
+        assert got[i] == (t.replace("".join(passage), "") if i > 2 else t)
+
+
 def test_lines_rejoin(spark):
     texts = ["a. b, c! d\n\ne", "x" * 5000 + ". y", "no end", "。你好。再见", " . , ! ", "a\x01. b", "end. "]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", linededup.lines(F.col("t")).alias("u"))
