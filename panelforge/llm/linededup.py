@@ -2,10 +2,10 @@
 
 A line here is what a line break ends or, within one, a mark of punctuation with the space after it:
 a few words, cut by nothing but its own end, so that a passage pasted into the middle of a paragraph
-still has whole lines. Of every ``WINDOW`` neighbouring line hashes the least is
-a fingerprint (Schleimer, Wilkerson and Aiken, "Winnowing", 2003), lines of ``SHORT`` words before
-shorter ones, and every line of ``LONG`` words is one: a repeated run of that many lines, or of one long
-line, cannot be missed. All positions of a fingerprint are joined with its first one; the neighbours
+still has whole lines. Of every ``WINDOW`` neighbouring line hashes, and
+of every fewer lines with ``min_words`` words, the least is a fingerprint (Schleimer, Wilkerson and Aiken,
+"Winnowing", 2003), lines of ``SHORT`` words before shorter ones, and every line of ``LONG`` words is one: two
+copies of a run of whole lines with ``min_words`` words always share one. All positions of a fingerprint are joined with its first one; the neighbours
 up to the next window, which each fingerprint carries with it, extend the match on both sides. Where they
 differ, the fingerprint together with its next one, two, ... neighbours on a side is a key in its turn,
 joined with the first position of that key: so a line that stood elsewhere before hides no passage. Runs of
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from panelforge.llm.common import join_grouped, staged
 
 WINDOW, LONG, SHORT = 5, 20, 3
+#: More than the words of a window's lines, of which each counts ``min_words`` at most.
+LINE = 1 << 20
 _MARKS = [m + " " for m in ".!?,;:|"] + ["\n", "。", "！", "？", "，", "；"]
 _LINES = r"(?<=\n)|(?<=[.!?,;:|] )|(?<=[。！？，；])"
 _CUT = "\x01"
@@ -50,7 +52,7 @@ def _words(t: Column) -> Column:
 def _key(t: Column, n: Column) -> Column:
     """62 bits of the line's hash, over which short lines (and then blank ones) come last."""
     h = F.shiftrightunsigned(F.xxhash64(t), 3)
-    return F.when(n >= SHORT, h).otherwise(h + F.lit(1 << 61))
+    return F.when(n >= SHORT, h).when(n > 0, h + F.lit(1 << 61)).otherwise(F.lit((1 << 63) - 1))
 
 
 def _pack(a: Column, na: Column, b: Column, nb: Column) -> Column:
@@ -69,7 +71,6 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     src = src.select("id", F.transform("u", lambda u: F.btrim(u, F.lit(" \n\r\t"))).alias("t"))
     src = src.select("id", "t", F.transform("t", _words).alias("n"))
     src = src.select("id", "n", F.zip_with("t", "n", _key).alias("k"))
-    big = F.lit((1 << 63) - 1)
     reach = WINDOW - 1
 
     def mark(k: Column, i: Column) -> Column:
@@ -77,14 +78,18 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         near = {d: (F.get("k", i + d), F.get("n", i + d)) for d in range(-reach, reach + 1) if d}
 
         def free(sign: int) -> Column:
-            """How many neighbours in a row, from the nearest, are no less."""
-            out = F.lit(reach)
-            for d in range(reach, 0, -1):
-                out = F.when(k > F.coalesce(near[sign * d][0], big), d - 1).otherwise(out)
+            """The neighbours in a row, from the nearest, that are no less: their words, and LINE for each."""
+            held, below = F.lit(0), []
+            for d in range(1, reach + 1):
+                below.append((near[sign * d][0], held))
+                held = held + F.least(near[sign * d][1], F.lit(min_words)) + LINE
+            out = held
+            for other, upto in reversed(below):
+                out = F.when(k > F.coalesce(other, F.lit(-1)), upto).otherwise(out)
             return out
 
         fields = [_pack(*near[s * d], *near[s * (d + 1)]).alias(f"{side}{d}") for side, s in (("l", -1), ("r", 1)) for d in range(1, reach, 2)]
-        return F.when((n > 0) & ((free(-1) + free(1) >= reach) | (n >= LONG)), F.struct(i.alias("pos"), k.alias("key"), n.alias("n"), *fields))
+        return F.when((n > 0) & ((n >= LONG) | F.exists(F.array(free(-1) + free(1)), lambda x: (x >= reach * LINE) | (x % LINE + n >= min_words))), F.struct(i.alias("pos"), k.alias("key"), n.alias("n"), *fields))
 
     prints = staged(src.select("id", F.inline(F.filter(F.transform("k", mark), lambda x: x.isNotNull()))), "fingerprints")
     carried = [f"{side}{d}" for side in "lr" for d in range(1, reach, 2)]

@@ -183,6 +183,17 @@ def test_line_dedup_past_an_earlier_line(spark):
         assert got[i] == (t.replace("".join(passage), "") if i > 2 else t)
 
 
+def test_line_dedup_of_few_lines(spark):
+    """Passages of one to four lines, and of blank lines between, with foreign lines around them."""
+    rng = random.Random(13)
+    prose = lambda n, end=". ": " ".join(words(rng, n, 100_000)) + end
+    passages = [[prose(-(-30 // n)) for _ in range(n)] for n in (1, 2, 3, 4) for _ in range(15)] + [[prose(16, "\n"), "\n", "\n", prose(16)] for _ in range(15)]
+    rows = [(2 * k + i, "".join(prose(rng.randrange(3, 12)) for _ in range(5)) + "".join(p) + "".join(prose(rng.randrange(3, 12)) for _ in range(5)), "en", 1, "x") for k, p in enumerate(passages) for i in (0, 1)]
+    got = {r["doc_id"]: r["text"] for r in linededup.line_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, t, *_ in rows:
+        assert got[i] == (t.replace("".join(passages[i // 2]), "") if i % 2 else t)
+
+
 def test_lines_rejoin(spark):
     texts = ["a. b, c! d\n\ne", "x" * 5000 + ". y", "no end", "。你好。再见", " . , ! ", "a\x01. b", "end. "]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", linededup.lines(F.col("t")).alias("u"))
