@@ -4,10 +4,11 @@ Fixed forms are e-mail addresses, IP addresses, payment cards and phone numbers.
 strings (kind "secret"), are the seed entities. A lexical pattern is the one or two words before an
 entity. Patterns and instances make a bipartite graph: a pattern scores the smoothed share of its
 distinct instances that are entities, an unknown instance scores by the best patterns it occurs with,
-and instances over ``ACCEPT`` count as entities in the next round (Riloff and Jones, "Learning
+and instances over ``ACCEPT`` count as entities of its kind in the next round, where they admit patterns that no fixed
+form follows (Riloff and Jones, "Learning
 dictionaries for information extraction by multi-level bootstrapping", 1999). In the end, what
 follows a pattern of high confidence and looks like an identifier is a further span, of the kind most of
-the pattern's seeds have.
+the pattern's entities have, by weight.
 
 Scale. One scan finds fixed forms and candidates (strings with a digit, "@" or "_"), a small part of all
 words. The graph holds distinct edges, aggregated before they are shuffled; rounds are joins on
@@ -17,8 +18,11 @@ have is split, and nothing is collected.
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +45,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _MANY_DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9]){13}")
 _HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])")
 _CHUNK = re.compile(r"\S*[0-9@_]\S*")
+#: Groups of digits with single spaces between, and the marks around them.
+_GROUPS = re.compile(r"(?<!\S)[^\s0-9A-Za-z@_]{0,3}[0-9][0-9-]*(?: [0-9][0-9-]*)+(?!\S*[0-9A-Za-z@_])\S*")
 _EDGE = "\"'`()[]{}<>,.;:!?*$%&#|="
 
 
@@ -99,7 +105,8 @@ def _words_before(t: str, start: int) -> tuple[str, str]:
 
 def candidates(t: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str | None]]:
     """(start, end, seed kind or None): fixed forms and secrets, and other strings that look like
-    identifiers and do not overlap with them."""
+    identifiers and do not overlap with them: of any length, and across single spaces between groups of
+    digits."""
     out = [(a, b, KINDS[k]) for a, k, b in base]
     taken = [(a, b) for a, _, b in base]
     for m in _HEX.finditer(t):
@@ -107,17 +114,26 @@ def candidates(t: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int,
             out.append((m.start(), m.end(), SECRET))
             taken.append((m.start(), m.end()))
     taken.sort()
-    k = 0
+    starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+    free = lambda a, b: not (before := bisect_left(starts, b)) or ends[before - 1] <= a
+    groups = [m.span() for m in _GROUPS.finditer(t) if free(*m.span())]
+    k = g = 0
     for m in _CHUNK.finditer(t):
         a, b = m.span()
+        while g < len(groups) and groups[g][1] <= a:
+            g += 1
+        if g < len(groups) and groups[g][0] <= a:
+            if groups[g][0] < a:
+                continue
+            a, b = groups[g]
         while k < len(taken) and taken[k][1] <= a:
             k += 1
         if k < len(taken) and taken[k][0] < b:
             continue
-        s = m.group()
+        s = t[a:b]
         a += len(s) - len(s.lstrip(_EDGE))
         b -= len(s) - len(s.rstrip(_EDGE))
-        if b - a >= 4 and b - a <= 128:
+        if b - a >= 4:
             out.append((a, b, None))
     return out
 
@@ -144,7 +160,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for a, e, seed in candidates(t, own):
                 one, two = _words_before(t, a)
-                rows.append({"start": a, "end": e, "seed": seed, "one": one, "two": two, "what": t[a:e].lower()})
+                rows.append({"start": a, "end": e, "seed": seed, "one": one, "two": two, "what": t[a:e].lower() if e - a <= 128 else hashlib.sha256(t[a:e].lower().encode()).hexdigest()})
             found.append(rows)
         yield pa.RecordBatch.from_arrays([pa.array(range(row, row + b.num_rows), pa.int64()), b.column(0).cast(pa.int64()), pa.array(base, pa.list_(span)), pa.array(found, pa.list_(cand))], names=["row", "id", "base", "found"])
         row += b.num_rows
@@ -152,20 +168,22 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def confident_patterns(edges: DataFrame) -> DataFrame:
     """edges: (pattern, what, seed or null), repeated ones allowed. (pattern, kind, score) of the patterns
-    with at least MIN_SEEDS distinct seed instances and a score over CONFIDENT after all rounds."""
+    with at least MIN_SEEDS distinct instances that are seeds or accepted by the round before, and a score over
+    CONFIDENT after all rounds."""
     edges = staged(edges.groupBy("pattern", "what").agg(F.max("seed").alias("seed")), "edges")
-    known = F.when(F.col("seed").isNotNull(), 1.0).otherwise(F.coalesce("score", F.lit(0.0)))
+    unknown = edges.withColumn("score", F.lit(None).cast("double")).withColumn("learned", F.lit(None).cast("string"))
     scores = None
     for k in range(ROUNDS):
-        rated = edges.withColumn("score", F.lit(None).cast("double")) if scores is None else edges.join(scores, "what", "left")
-        patterns = rated.groupBy("pattern").agg(F.sum(known).alias("hits"), F.count("seed").alias("seeds"), F.count("*").alias("n"))
-        patterns = patterns.where(F.col("seeds") >= MIN_SEEDS).select("pattern", (F.col("hits") / (F.col("n") + 2)).alias("p"))
+        rated = unknown if scores is None else edges.join(scores, "what", "left")
+        # an entity: a seed, or what the round before has accepted, with its score and its best pattern's kind
+        rated = rated.withColumn("kind", F.coalesce("seed", "learned")).withColumn("weight", F.when(F.col("seed").isNotNull(), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
+        by_kind = rated.groupBy("pattern", "kind").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
+        patterns = by_kind.groupBy("pattern").agg(F.sum("weight").alias("hits"), F.sum("n").alias("n"), F.sum(F.when(F.col("kind").isNotNull(), F.col("n"))).alias("entities"), F.max(F.when(F.col("kind").isNotNull(), F.struct("weight", "kind")))["kind"].alias("kind"))
+        patterns = patterns.where(F.col("entities") >= MIN_SEEDS).select("pattern", "kind", (F.col("hits") / (F.col("n") + 2)).alias("p"))
         patterns = staged(patterns, f"patterns-{k}")
-        best = edges.where("seed is null").join(patterns, "pattern").groupBy("what").agg(F.max("p").alias("score"))
-        scores = staged(best.where(F.col("score") >= ACCEPT), f"instances-{k}")
-    kinds = edges.where("seed is not null").groupBy("pattern", "seed").agg(F.count("*").alias("n"))
-    kinds = kinds.groupBy("pattern").agg(F.max(F.struct("n", "seed"))["seed"].alias("kind"))
-    return patterns.where(F.col("p") >= CONFIDENT).join(kinds, "pattern").select("pattern", "kind", F.col("p").alias("score"))
+        best = edges.where("seed is null").join(patterns, "pattern").groupBy("what").agg(F.max(F.struct(F.col("p").alias("score"), F.col("kind").alias("learned"))).alias("b"))
+        scores = staged(best.select("what", "b.*").where(F.col("score") >= ACCEPT), f"instances-{k}")
+    return patterns.where(F.col("p") >= CONFIDENT).select("pattern", "kind", F.col("p").alias("score"))
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -192,6 +192,22 @@ def test_personal_data(spark):
     assert pii.personal_data(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_personal_data_spreads_to_new_patterns(spark):
+    """No fixed form follows "badge no.:"; its badges stand after "call id:" too, which many addresses follow."""
+    texts = [f"call id: 10.1.2.{k} now" for k in range(80)]
+    texts += [f"call id: X{k}-22 now" for k in range(12)] + [f"badge no.: X{k}-22 now" for k in range(13)] + ["of type: Y1-22 now"] * 30
+    got = {r["doc_id"]: r["more"] for r in pii.personal_data(spark.createDataFrame([(k, t, "", "") for k, t in enumerate(texts)], DOCS)).collect()}
+    found = {t[s["start"] : s["end"]]: s["kind"] for k, t in enumerate(texts) for s in got[k] if t.startswith("badge")}
+    assert found.get("X12-22") == "ip" and len(found) == 13 and not any(got[k] for k in range(105, len(texts)))
+
+
+def test_candidates_across_spaces_and_of_any_length():
+    long = "k9" * 400
+    t = f"tax id: 123 456 789, key {long}; 12345 10.0.0.1 and 12 3456x 2024"
+    found = [t[a:b] for a, b, seed in pii.candidates(t, pii.base_spans(t)) if seed is None]
+    assert found == ["123 456 789", long, "12345", "3456x", "2024"]
+
+
 def test_emails_like_the_expression():
     rng = random.Random(8)
     for _ in range(3000):
