@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,17 +12,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: str | None = None
+#: Tables that staged() wrote, with their folders.
+_tables: dict[int, tuple[DataFrame, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir; where it is unset, the warehouse on a
-    cluster and a temporary folder in local mode."""
+    """The folder every executor sees: spark.checkpoint.dir; where it is unset, a warehouse that is not a
+    machine's own folder on a cluster, and a temporary folder in local mode."""
     global _own_dir
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/llm-stages"
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if not re.match(r"(?!file:)[A-Za-z][A-Za-z0-9+.-]*:", warehouse):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        return warehouse + "/llm-stages"
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="panelforge-")
     return _own_dir
@@ -29,11 +35,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, survives
-    the loss of executors, and keeps nothing on executor disks."""
+    the loss of executors, and keeps nothing on executor disks. release() removes the table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex[:12]}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _tables[id(out)] = (out, path.rpartition("/")[0])
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Remove tables that staged() wrote and nothing reads any more; others are left alone."""
+    for df in tables:
+        if df is not None and (found := _tables.pop(id(df), None)):
+            _remove(df.sparkSession, found[1])
+
+
+def release_all(spark: SparkSession) -> None:
+    """Remove all tables that staged() wrote and are still there: once no result of this session is read."""
+    for df, path in list(_tables.values()):
+        if df.sparkSession is spark:
+            del _tables[id(df)]
+            _remove(spark, path)
 
 
 def join_grouped(rows: DataFrame, grouped: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

@@ -5,10 +5,12 @@ in one task, and each round is written to the shared folder."""
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import join_grouped, staged
+from panelforge.llm.common import join_grouped, release, staged
 
 
 def _star(e: DataFrame, large: bool) -> DataFrame:
@@ -31,12 +33,13 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     gives an empty result."""
     e = staged(edges.where("u is not null and v is not null and u <> v").select("u", "v").distinct(), f"{name}-0")
     mark = None
-    for k in range(1, 60):
+    for k in count(1):  # to the fixed point: every round that is not the last lowers a node's centre
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if now["n"] == 0 or (now["n"], now["s"]) == mark:
             break
         mark = (now["n"], now["s"])
-        e = staged(_star(_star(e, True), False), f"{name}-{k}")
+        before, e = e, staged(_star(_star(e, True), False), f"{name}-{k}")
+        release(before)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -258,21 +258,46 @@ def test_benchmark_matches(spark):
         w = pat.findall((t or "").encode().lower())
         for k in range(max(0, len(w) - min(10, len(w)) + 1) if w and i is not None else 0):
             win[tuple(w[k : k + min(10, len(w))])].add(i)
-    for limit in (2_000_000, 10):
-        m = decontam.benchmark_matches(docs, bench, max_block_words=limit)
-        got = sorted((r["doc_id"], r["n_words"], r["n_hit"], sorted(set(r["items"]))) for r in m.select("*", decontam.hit_words().alias("n_hit")).collect())
-        want = set()
-        for i, t, *_ in rows:
-            w = pat.findall((t or "").encode().lower())
-            hit, found = set(), set()
-            for a in range(len(w)):
-                for b in range(a + 1, min(a + 10, len(w)) + 1):
-                    if tuple(w[a:b]) in win:
-                        hit |= set(range(a, b))
-                        found |= win[tuple(w[a:b])]
-            want.add((i, len(w), len(hit), tuple(sorted(found))))
-        assert {(a, b, c, tuple(d)) for a, b, c, d in got} == want
-        clean = {r["doc_id"] for r in decontam.decontaminate(docs, bench, max_block_words=limit).collect()}
-        assert clean == {i for i, _, n, _ in want if n == 0}
+    rows += [(63, rows[0][1], "en", 0, "")] * 2 + [(63, rows[3][1], "en", 0, ""), (None, rows[0][1], "en", 0, ""), (None, "w1 of no item", "en", 0, "")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = []
+    for i, t, *_ in rows:
+        w = pat.findall((t or "").encode().lower())
+        hit, found = set(), set()
+        for a in range(len(w)):
+            for b in range(a + 1, min(a + 10, len(w)) + 1):
+                if tuple(w[a:b]) in win:
+                    hit |= set(range(a, b))
+                    found |= win[tuple(w[a:b])]
+        want.append((str(i), len(w), len(hit), sorted(found)))
+    for limit in (256 << 20, 3000):
+        m = decontam.benchmark_matches(docs, bench, max_block_bytes=limit)
+        got = [(str(r["doc_id"]), r["n_words"], r["n_hit"], r["items"]) for r in m.select("*", decontam.hit_words().alias("n_hit")).collect()]
+        assert sorted(got) == sorted(want)
+        clean = sorted(str(r["doc_id"]) for r in decontam.decontaminate(docs, bench, max_block_bytes=limit).collect())
+        assert clean == sorted(i for i, _, n, _ in want if n == 0)
     assert decontam.benchmark_matches(docs, bench.where("false")).where(F.size("items") > 0).count() == 0
     assert decontam.decontaminate(docs.where("false"), bench).count() == 0
+
+
+def test_longest_matches(spark):
+    """The longest match of each item with its place, the first of equals; a prompt that many items share."""
+    rng = random.Random(16)
+    one, prompt = words(rng, 40, 5000), " ".join(words(rng, 12, 5000))
+    items = [(1, " ".join(one))] + [(k, f"{prompt} {' '.join(words(rng, 5, 5000))}") for k in range(10, 400)]
+    text = " ".join(["a", *one[3:15], "b", *one[10:30], "c", *one[10:30], prompt] + [prompt] * 30)
+    docs, bench = spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for places in (decontam.PLACES, 50):
+        old, decontam.PLACES = decontam.PLACES, places
+        try:
+            index = decontam._Index([(i, t.encode()) for i, t in items], 10)
+            import pyarrow as pa
+
+            _, lists = decontam._search(index, pa.array([text]))
+        finally:
+            decontam.PLACES = old
+        r = {c: x[0].as_py() for (c, _), x in zip(decontam.FOUND, lists, strict=True)}
+        got = {i: (a, b, n) for i, a, b, n in zip(r["items"], r["doc_start"], r["item_start"], r["length"], strict=True)}
+        assert got == {1: (14, 10, 20)} | {k: (55, 0, 12) for k in range(10, 400)}
+        assert list(zip(r["hit_start"], r["hit_length"], strict=True)) == [(1, 12), (14, 20), (35, 20 + 12 * 31)]
+    assert decontam.benchmark_matches(docs, bench).first()["items"] == [1, *range(10, 400)]
