@@ -30,10 +30,10 @@ MEMORY, CHUNKS = 600_000, 400_000
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
 
 
-#: Latin-1 characters outside ASCII in the byte-level alphabet: their UTF-8 bytes as printable characters.
+#: Latin-1 characters in the byte-level alphabet: their UTF-8 bytes as printable characters.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
-_LATIN = {c: "".join(_BYTE_CHARS[b] for b in chr(c).encode()) for c in range(128, 256)}
+_LATIN = {c: "".join(_BYTE_CHARS[b] for b in chr(c).encode()) for c in range(256)}
 _PROBE = "It's 10 naïve Straße-words!! [x|y], ÉCOLE we'll été 3.5% don't"
 
 
@@ -69,7 +69,7 @@ class Encoder:
             if ids is None:
                 if len(self.parts) > MEMORY:
                     self.parts = {}
-                found = [t.id for t in self.model.tokenize(p if p.isascii() else p.translate(_LATIN))]
+                found = [t.id for t in self.model.tokenize(p if p.isascii() and p.isprintable() else p.translate(_LATIN))]
                 ids = self.parts[p] = struct.pack(f"<{len(found)}I", *found)
             out.append(ids)
         return b"".join(out) if len(out) != 1 else out[0]

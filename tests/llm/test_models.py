@@ -151,6 +151,43 @@ def test_packing_plan():
     assert sum(t for t, _ in packing.plan({7: 2, 5: 2, 6: 2, 4: 1}, 12)) == 4
 
 
+def test_reduction_keeps_the_optimum():
+    """What dominance fixes is part of some optimal packing, by exhaustive search."""
+    from functools import cache
+
+    rng = random.Random(15)
+    for _ in range(120):
+        cap = rng.choice([9, 12, 20, 31])
+        sizes = [rng.randrange(1, cap + 1) for _ in range(rng.randrange(1, 9))]
+
+        @cache
+        def optimum(left: tuple, cap=cap) -> int:
+            if not left:
+                return 0
+            big, rest = left[0], left[1:]
+            best = 1 + optimum(rest)
+            for k in range(1, 1 << len(rest)):
+                own = [j for j in range(len(rest)) if k >> j & 1]
+                if big + sum(rest[j] for j in own) <= cap:
+                    best = min(best, 1 + optimum(tuple(x for j, x in enumerate(rest) if j not in own)))
+            return best
+
+        n = [sizes.count(k) for k in range(cap + 1)]
+        fixed = packing._dominate(n, cap)
+        left = tuple(sorted((k for k in range(cap + 1) for _ in range(n[k])), reverse=True))
+        assert sum(t for t, _ in fixed) + optimum(left) == optimum(tuple(sorted(sizes, reverse=True)))
+        assert optimum(tuple(sorted(sizes, reverse=True))) <= sum(t for t, _ in packing.plan(Counter(sizes), cap)) <= optimum(tuple(sorted(sizes, reverse=True))) + 1
+
+
+def test_token_ids_of_every_code_point():
+    enc = packing.Encoder(None)
+    texts = [f"a{chr(c)}b {chr(c)} {chr(c)}{chr(c)}x" for c in [*range(0xD800), *range(0xE000, 0x10000), *range(0x10000, 0x110000, 97)]]
+    rng = random.Random(14)
+    some = [chr(c) for c in range(256)] + [*"Σσςİıß日本é\u0301"] + [" "] * 40 + ["the", "It's", "<|endoftext|>"]
+    texts += ["".join(rng.choice(some) for _ in range(rng.randrange(1, 60))) for _ in range(8000)]
+    assert enc.by_chunk and enc.encode(texts) == enc._slow(texts)
+
+
 def test_packing(spark):
     rng = random.Random(6)
     texts = [prose(rng, rng.randrange(1, 60)) for _ in range(40)] + [prose(rng, 3000), "", None, "It's Ünïcode ΣΑΣ <|endoftext|> x\x1fy 日本語 é", "It's"]
