@@ -79,7 +79,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda spans: F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     counts = [number(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
-    return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.concat(base, more)).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.concat(base, more)).alias("spans"), (F.size("base") + F.size("more")).cast("long").alias("n_spans"))
 
 
 #: Host, path and verdict of the rules of op10_url_filters.

@@ -3,6 +3,8 @@ UTF-8 buffers of an Arrow string array. Nothing here makes a Python object per w
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -123,3 +125,31 @@ def gram_sets(w: Words, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     offs = np.zeros(count + 1, dtype=np.int64)
     np.cumsum([len(p) for p in parts], out=offs[1:])
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), offs
+
+
+class Counts:
+    """Counts of 64-bit keys, handed out when there are many."""
+
+    def __init__(self, limit: int = 1 << 20):
+        self.limit, self.parts, self.size = limit, [], 0
+
+    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        k, c = np.unique(keys, return_counts=True)
+        self.parts.append((k, c))
+        self.size += len(k)
+        if self.size > 2 * self.limit:
+            self._merge()
+            if self.size > self.limit:
+                yield from self.out()
+
+    def _merge(self) -> None:
+        k, c = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        u, at = np.unique(k, return_inverse=True)
+        self.parts, self.size = [(u, np.bincount(at, weights=c, minlength=len(u)).astype(np.int64))], len(u)
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            self._merge()
+            k, c = self.parts[0]
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], names=["k", "c"])
+        self.parts, self.size = [], 0
