@@ -74,6 +74,7 @@ def test_near_duplicates(spark, n, num):
 def test_near_duplicates_of_a_large_family(spark, monkeypatch):
     """More members than a block, and joined by shuffles instead of broadcasts."""
     monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "TEXTS", 16)
     monkeypatch.setattr(neardup, "MAX_BROADCAST_ROWS", 0)
     rng = random.Random(2)
     base = words(rng, 90)
@@ -87,11 +88,41 @@ def test_near_duplicates_of_a_large_family(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in brute_components(rows, 3, 85, 100).items()}
 
 
+@pytest.mark.parametrize("stars", [0, 1])
+def test_near_duplicates_beyond_the_stars(spark, monkeypatch, stars):
+    """Templates that share most shingles but are linked in chains only, in blocks of a few members."""
+    monkeypatch.setattr(neardup, "STARS", stars)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "TEXTS", 8)
+    rng = random.Random(7)
+    base = words(rng, 150)
+    rows = []
+    for k in range(90):
+        w = list(base)
+        for _ in range(rng.choice([2, 4, 7, 9])):
+            w[rng.randrange(150)] = f"z{rng.randrange(9999)}"
+        rows.append((1000 - k, " ".join(w), "", 0, ""))
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), shingle=3, num=85).collect()}
+    want = {i: c for i, (_, c) in brute_components(rows, 3, 85, 100).items()}
+    assert got == want and 3 < len(set(want.values())) < 80
+
+
+def test_register_layout():
+    for num in (20, 50, 70, 80, 85, 95, 100):
+        rows, bands = neardup.layout(num, 100)
+        assert rows * bands <= neardup.MOST_SLOTS and (1 - (num / 100) ** rows) ** bands <= neardup.MISS
+        floor = neardup.least_estimate(num, 100, rows * bands)
+        assert floor <= num / 100
+    for num in (0, 5, 101):
+        with pytest.raises(ValueError):
+            neardup.layout(num, 100)
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
     x, y = np.unique(a[:3000]), np.unique(a[1000:])
-    reg = neardup.registers(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]))
+    reg = neardup.registers(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), 48)
     est = neardup.estimate(reg[:1], reg[1:], np.array([len(x)]), np.array([len(y)]))[0, 0]
     assert abs(est - 0.5) < 0.25
     assert neardup.estimate(reg[:1], reg[:1], np.array([len(x)]), np.array([len(x)]))[0, 0] == 1
