@@ -214,6 +214,66 @@ def test_line_dedup_past_an_earlier_line(spark):
         assert got[i] == (t.replace("".join(passage), "") if i > 2 else t)
 
 
+def brute_runs(rows, min_words=30):
+    """Per document, which words lie in a run of whole lines with min_words words or more that stood before."""
+    own, where = {}, defaultdict(list)
+    for i, t in rows:
+        own[i] = [x.strip(" \n\r\t") for x in re.split(linededup._LINES, t)]
+    for i in sorted(own):
+        for k, x in enumerate(own[i]):
+            where[x].append((i, k))
+    due = {}
+    for i, ls in own.items():
+        hit = set()
+        for k, x in enumerate(ls):
+            for j, m in where[x]:
+                if (j, m) >= (i, k):
+                    break
+                if k and m and ls[k - 1] == own[j][m - 1]:
+                    continue
+                n = 0
+                while k + n < len(ls) and m + n < len(own[j]) and ls[k + n] == own[j][m + n] and (j != i or m + n < k):
+                    n += 1
+                if sum(len(y.split()) for y in ls[k : k + n]) >= min_words:
+                    hit |= set(range(k, k + n))
+        due[i] = hit
+    return own, due
+
+
+def test_line_dedup_against_brute_force(spark):
+    """Passages among very common lines; what is cut, and what is not, word by word."""
+    rng = random.Random(21)
+    common = [" ".join(words(rng, rng.randrange(1, 9), 3000)) + "." for _ in range(60)]
+    fresh = lambda: " ".join(words(rng, rng.randrange(1, 14), 10**6)) + rng.choice([".", ",", "!"])
+    passages = [[rng.choice(common) if rng.random() < 0.5 else fresh() for _ in range(rng.randrange(6, 18))] for _ in range(25)]
+    rows = []
+    for i in range(150):
+        body = [rng.choice(common) if rng.random() < 0.4 else fresh() for _ in range(rng.randrange(3, 30))]
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(body) + 1)
+            body[at:at] = rng.choice(passages)
+        rows.append((i, rng.choice([" ", "\n"]).join(body)))
+    own, due = brute_runs(rows)
+    out = {r["doc_id"]: r["runs_deleted"] or [] for r in linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    size = lambda i, ks: sum(len(own[i][k].split()) for k in ks)
+    cut = {i: {k for r in out[i] for k in range(r["first"], r["last"] + 1)} for i in own}
+    wanted, missed = sum(size(i, due[i]) for i in own), sum(size(i, due[i] - cut[i]) for i in own)
+    assert wanted > 3000 and missed <= 0.1 * wanted
+    # what is cut besides was a repeated run that others continue, or stands between two of them
+    assert sum(size(i, cut[i] - due[i]) for i in own) <= 0.05 * wanted
+
+
+def test_line_dedup_of_odd_tables(spark):
+    rows, _ = passages()
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("runs_deleted", F.lit("mine")).withColumn("runs_deleted_", F.lit(1))
+    out = linededup.line_dedup(df)
+    assert out.columns == [*df.columns, "runs_deleted__"] and {r["runs_deleted"] for r in out.collect()} == {"mine"}
+    text = " ".join(f"word{k % 1000} and w{k}." for k in range(150_000))
+    long = spark.createDataFrame([(1, text), (2, "Other words. " + text), (3, "x" * 3_000_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in linededup.line_dedup(long).collect()}
+    assert got == {1: text, 2: "Other words. ", 3: "x" * 3_000_000}
+
+
 def test_line_dedup_of_few_lines(spark):
     """Passages of one to four lines, and of blank lines between, with foreign lines around them."""
     rng = random.Random(13)
