@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm import decontam, linededup, neardup, packing, pii, quality, simhash, suffixtree, toxicity, urlfilter
-from panelforge.llm.common import staged, table
+from panelforge.llm.common import join_grouped, staged, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,10 +25,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = staged(simhash.document_fingerprints(table(spark, sf_dir, "documents")), "fingerprints")
     asked = F.col("doc_id") % 50 == 0
-    near = simhash.near_counts(prints.select("fp"), prints.where(asked).select("fp"))
-    out = prints.join(near.withColumn("asked", F.lit(True)), ["fp"], "left")
+    near = simhash.near_classes(prints.select("doc_id", "fp"), prints.where(asked).select("fp"))
+    out = join_grouped(prints, near, ["fp"])
     hexed = [F.lower(F.lpad(F.hex(c), 16, "0")).alias(n) for c, n in (("fp", "fingerprint"), ("edited_fp", "edited_fingerprint"))]
-    return out.select("doc_id", "n_chars", "edited_sha256", *hexed, "near_edited", "near_next", F.when(asked, F.col("n_within") - 1).alias("n_within"))
+    found = [F.when(asked, F.col("n_within") - 1).alias("n_within"), F.when(asked, F.col("near")).alias("near_class_ids")]
+    return out.select("doc_id", "n_chars", "edited_sha256", *hexed, "near_edited", "near_next", F.col("class").alias("class_id"), *found)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -321,13 +321,45 @@ def test_fingerprints(spark):
     assert odd.count() == len(corpus())
 
 
-def test_near_counts(spark):
+def test_fingerprints_by_a_plain_vote():
+    import math
+    from collections import Counter
+
+    import pyarrow as pa
+
+    rng = random.Random(23)
+    for text in [" ".join(words(rng, n, 40)) for n in (1, 2, 5, 60, 400)] + ["É é É", ""]:
+        w = tv.Words(*tv.buffers(pa.array([text])))
+        h = w.hashes()
+        terms = Counter(h.tolist()) + Counter(tv.grams(h, 2).tolist() if len(h) > 1 else [])
+        votes = [sum((1 + math.log(c)) * (1 if t >> k & 1 else -1) for t, c in terms.items()) for k in range(64)]
+        assert int(simhash.fingerprints([text])[0]) == sum(1 << k for k in range(64) if votes[k] > 1e-4)
+
+
+def test_fingerprints_of_a_hot_id(spark):
+    """More rows of one id, and of none, than a range holds; followers are still the next by id and text hash."""
+    rows = [(5 if k % 3 else None, f"text {k} of many words {k * k}") for k in range(600)] + [(k, f"other {k}") for k in range(10, 90)] + [(700, "same")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    h = {r[0]: r[1] for r in df.select("text", F.xxhash64("text")).distinct().collect()}
+    order = sorted(rows, key=lambda r: (-(1 << 63) if r[0] is None else r[0], h[r[1]]))
+    want = sorted((str(i), hashlib.sha256((t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][: len(t) // 2]).encode()).hexdigest()) for k, (i, t) in enumerate(order))
+    assert sorted((str(r["doc_id"]), r["edited_sha256"]) for r in simhash.document_fingerprints(df).collect()) == want
+
+
+def test_near_classes(spark):
     rng = random.Random(4)
     base = [rng.getrandbits(63) for _ in range(30)]
     prints = base + [b ^ sum(1 << rng.randrange(62) for _ in range(k % 6)) for k, b in enumerate(base * 4)] + [base[0]] * 5
-    df = spark.createDataFrame([(p,) for p in prints] + [(None,)], "fp long")
-    got = {r["fp"]: r["n_within"] for r in simhash.near_counts(df, df.where(F.col("fp").isin(base))).collect()}
-    assert got == {b: sum(bin(b ^ p).count("1") <= 3 for p in prints) for b in base}
+    df = spark.createDataFrame([(1000 - k, p) for k, p in enumerate(prints)] + [(7, None), (None, base[1])], "doc_id long, fp long")
+    got = {r["fp"]: r for r in simhash.near_classes(df, df.where(F.col("fp").isin(base))).collect()}
+    first = {}
+    for k, p in enumerate(prints):
+        first[p] = 1000 - k
+    assert {p: r["class"] for p, r in got.items()} == first
+    every = [*prints, base[1]]
+    for b in first:
+        near = [p for p in every if bin(b ^ p).count("1") <= 3]
+        assert (got[b]["n_within"], got[b]["near"]) == ((len(near), sorted({first[p] for p in near})) if b in base else (None, None))
 
 
 def test_benchmark_matches(spark):
