@@ -8,8 +8,8 @@ their mean, weighted by length, is the document's quality, calibrated on the row
 Labels are of documents. In a good one all lines are taken as good; in a bad one all lines as bad, but
 after a first fit those that it finds far more likely good than not change sides, never the worst.
 
-Scale. The fit uses at most ``fit_rows`` labelled rows (a bounded, documented sample, by hash of the id),
-picked from the labels alone; line features are made on the executors. Scoring is one scan of the
+Scale. The fit uses at most ``fit_rows`` labelled documents of ``fit_lines`` lines (a bounded, documented sample, by
+hash of the id), picked from the labels; line features are made on the executors. Scoring is one scan of the
 whole texts, linear in their lines, that shuffles nothing.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm import textvec as tv
-from panelforge.llm.common import slices, text_array
+from panelforge.llm.common import release, slices, staged, text_array
 
 _UPPER, _DIGIT, _MARK, _BAR = (np.zeros(256, dtype=np.int64) for _ in range(4))
 _UPPER[65:91] = 1
@@ -63,9 +63,10 @@ def line_features(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     again[1:] = h[1:] == h[:-1]
     marked = (_MARK[raw[w.end - 1]] > 0).astype(float) if len(h) else np.zeros(0)
     distinct = _distinct(of, h, count)
-    sums = np.bincount(of, weights=(tv.mix(h + np.uint64(1)) >> np.uint64(12)).astype(float), minlength=count)
+    upto = np.append(np.uint64(0), np.cumsum(tv.mix(h + np.uint64(1)), dtype=np.uint64))
+    sums = upto[last] - upto[first]
     owner = np.repeat(np.arange(n), per)
-    key = tv.mix(sums.astype(np.uint64) + tv.mix(owner.astype(np.uint64)))
+    key = tv.mix(sums + tv.mix(owner.astype(np.uint64)))
     _, back, times = np.unique(key, return_inverse=True, return_counts=True)
     copies = ((times[back] > 1) & (words > 0)).astype(float)
     closes = np.isin(raw[np.maximum(end - 1, 0)] if len(raw) else np.zeros(count, np.uint8), list(b".!?:;\"")) & (length > 0)
@@ -198,14 +199,16 @@ def _fit_crf(x: np.ndarray, y: np.ndarray, lines: np.ndarray, weight: np.ndarray
     return _ascend(gradient, start, rounds, 0.1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = 6_000) -> Model:
-    """Learn from at most fit_rows labelled rows. Rows without an id or label are not used; a repeated id
-    counts as good if all its labels do. With one kind of label only, every score is 0.5."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = 6_000, fit_lines: int = 1_000_000) -> Model:
+    """Learn from at most fit_rows labelled documents of at most fit_lines lines together, by hash of the id. Rows
+    without an id or label are not used; a repeated id counts as good if all its labels do, and is one document (of
+    several texts the one least by hash). Null texts are empty. With one kind of label only, and on empty tables,
+    every score is 0.5. Other columns, whatever their names, are not touched. Ids are whole numbers."""
     spark = docs.sparkSession
     picked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.min(F.col(label_col).cast("int")).alias("__y"))
     picked = picked.orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    rows = rows.join(F.broadcast(picked), "__id").select("__id", "__y", "__text")
+    rows = rows.join(F.broadcast(picked), "__id").groupBy("__id").agg(F.max("__y").alias("__y"), F.min_by("__text", F.xxhash64("__text")).alias("__text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -215,7 +218,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 sizes = [length[p:q].tolist() for p, q in zip(lines[:-1], lines[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(blobs, pa.binary()), pa.array(sizes, pa.list_(pa.float64()))], names=["id", "y", "x", "length"])
 
-    got = sorted(rows.mapInArrow(encode, "id long, y int, x binary, length array<double>").collect(), key=lambda r: (r["id"], bytes(r["x"])))  # at most fit_rows
+    coded = staged(rows.select("__id", "__y", "__text").mapInArrow(encode, "id long, y int, x binary, length array<double>"), "lines")
+    sizes = coded.select("id", F.size("length").alias("n")).orderBy(F.xxhash64("id"), "id").collect()  # at most fit_rows
+    fits = np.cumsum([r["n"] for r in sizes]) <= fit_lines
+    own = spark.createDataFrame([(r["id"],) for r, fit in zip(sizes, fits, strict=True) if fit], "id long")
+    got = sorted(coded.join(F.broadcast(own), "id").collect(), key=lambda r: r["id"])  # at most fit_lines lines
+    release(coded)
     none = Model(np.zeros(3 * OWN), np.zeros((2, 2)), (0.0, 0.0))
     if len({r["y"] > 0 for r in got}) < 2:
         return none
@@ -248,7 +256,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score double from 0 to 1), one row per row of docs. Null and empty texts are one empty line
-    and scored as such; null ids stay null; other columns of docs are not touched."""
+    and scored as such; null ids stay null; equal texts have equal scores, repeated rows come as often as they do in
+    docs; very long texts are one chain; an empty table gives an empty result. Other columns of docs, whatever
+    their names, are not touched."""
     src = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
