@@ -175,7 +175,6 @@ def ts_scale(x: Column, d: int, symbol: str = "symbol", ts: str = "ts") -> Colum
 def hump(df: DataFrame, x: str, out: str, hump: float = 0.01, symbol: str = "symbol", ts: str = "ts") -> DataFrame:
     """df with a column ``out``: x followed by steps of at most ``hump``; from a missing value on, missing.
     Each value depends on the one before it, which no window expresses: rows are streamed in order."""
-    import numpy as np
     import pyarrow as pa
     from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -192,7 +191,8 @@ def hump(df: DataFrame, x: str, out: str, hump: float = 0.01, symbol: str = "sym
                 elif last is None or v is None:
                     last = None
                 else:
-                    last = last + float(np.clip(v - last, -hump, hump))
+                    step = v - last
+                    last = last + (hump if step > hump else -hump if step < -hump else step)
                 got.append(last)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], names=[*b.schema.names, out])
 

@@ -111,8 +111,9 @@ def _more() -> dict[str, Op]:
 #: Other spellings of the same operators.
 ALIASES = {"ts_argmin": "ts_arg_min", "ts_argmax": "ts_arg_max", "ts_stddev": "ts_std_dev", "rolling_mean": "ts_mean", "fabs": "abs", "delay": "ts_delay", "delta": "ts_delta", "ts_covariance": "ts_cov", "max": "maximum", "min": "minimum"}
 
+# The numbers that a search draws from, by registry; each once.
 USUAL_INTS = (*range(3, 20), *range(20, 246, 5))
-USUAL_FLOATS = (*map(float, range(1, 100)), *map(float, range(20, 246, 5)))
+USUAL_FLOATS = (*map(float, range(1, 100)), *map(float, range(100, 246, 5)))
 LEGACY_INTS = (3, 5, 6, 9, 10, 12, 15, 18, 20, 24, 30, 60, 90, 120)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from panelforge.functions.nulls import fin, safe_div
 from panelforge.operators.cross_section import rank
 from panelforge.plans.panel import Panel
+from panelforge.sources.stages import stage
 
 MIN_OBSERVATIONS, YEAR = 750, 252
 
@@ -103,8 +104,9 @@ def high_minus_low(p: Panel, f: str, r: str, share: float = 0.5) -> DataFrame:
     gain = F.when(F.col("r") > -1, F.log1p("r"))
     top, low = F.avg(F.when(F.col("place") > F.col("n") - F.col("k"), gain)), F.avg(F.when(F.col("place") <= F.col("k"), gain))
     out = v.groupBy("ts").agg((top - low).alias("value"), ((F.max("n") > 10) & (F.count_distinct("f") < 5)).alias("flat"))
-    bad = out.agg(F.coalesce(F.max("flat"), F.lit(False)).alias("bad"))
-    return out.join(F.broadcast(bad.where("not bad")), F.lit(True)).where("value is not null").select("ts", "value")
+    # one row of all timestamps, which the time axis bounds: the series is made once
+    rows = out.agg(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("ts", "value"))).alias("rows"), F.coalesce(F.max("flat"), F.lit(False)).alias("flat"))
+    return rows.where("not flat").select(F.inline("rows"))
 
 
 def sharpe(p: Panel, f: str, r: str, rf: float = 0.01, share: float = 0.1) -> DataFrame:
@@ -159,11 +161,21 @@ def t_p_value(rho: float, n: int) -> float:
     return _beta_share(df / 2, 0.5, df / (df + t2))
 
 
+def _ranked(v: DataFrame, x: str, out: str) -> DataFrame:
+    """v with the average rank of x among all rows: counts per value, summed up over ranges of values that are
+    staged, and joined back. No task has more than a range of the values."""
+    counts = stage(v.groupBy(x).agg(F.count("*").alias("n")).repartitionByRange(x).withColumn("part", F.spark_partition_id()), "values")
+    before = counts.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy(x).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranks = counts.withColumn("upto", upto).join(F.broadcast(before), "part").select(x, (F.col("before") + F.col("upto") - (F.col("n") - 1) / 2.0).alias(out))
+    return v.join(ranks, x)
+
+
 def spearman_corr(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: the Spearman correlation of two columns, 0 unless its p is under 0.05, missing without
-    pairs. Ranks are windows over the whole input and so one task's: for samples, not for a panel."""
-    v = df.select(F.lit(0).alias("ts"), fin(F.col(x)).alias("f"), fin(F.col(y)).alias("r")).where("f is not null and r is not null")
-    v = v.withColumn("fr", rank(F.col("f"))).withColumn("rr", rank(F.col("r")))
+    pairs."""
+    v = df.select((fin(F.col(x)) + 0.0).alias("f"), (fin(F.col(y)) + 0.0).alias("r")).where("f is not null and r is not null")  # -0.0 is 0.0
+    v = _ranked(_ranked(v, "f", "fr"), "r", "rr")
     one = v.agg(_pearson("fr", "rr").alias("rho"), F.count("*").alias("n"))
 
     def significant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,16 +186,32 @@ def spearman_corr(df: DataFrame, x: str, y: str) -> DataFrame:
     return one.mapInArrow(significant, "value double")
 
 
-def weighted_fitness(p: Panel, f: str, r: str, weights: dict[str, float] | None = None) -> DataFrame:
+def weighted_fitness(p: Panel, f: str, r: str, weights: dict[str, float] | None = None, k: float = 0.1, groups: int = 10) -> DataFrame:
     """One row: the weighted sum of mean rank IC ("rankic"), top-k return ("top_r") and monotonicity
-    ("mono"); -1 if it is missing."""
-    parts = {"rankic": lambda: mean(rank_ic(p, f, r)), "top_r": lambda: top_k_returns(p, f, r), "mono": lambda: monotonicity(p, f, r)}
-    out = None
-    for k, (name, w) in enumerate((weights or {"rankic": 1.0}).items()):
-        one = parts[name]().select((F.col("value") * w).alias(f"v{k}"))
-        out = one if out is None else out.join(one, F.lit(True))
-    total = sum((F.col(c) for c in out.columns[1:]), F.col(out.columns[0]))
-    return out.select(F.coalesce(total, F.lit(-1.0)).alias("value"))
+    ("mono"); -1 if it is missing. All of them come from one grouped aggregation of ranked pairs."""
+    weights = weights or {"rankic": 1.0}
+    v = valid_pairs(p, f, r)
+    aggs: dict[str, Column] = {}
+    if "rankic" in weights:
+        v = v.withColumn("fr", rank(F.col("f"))).withColumn("rr", rank(F.col("r")))
+        aggs["rankic"] = F.when(F.count("*") > 1, _pearson("fr", "rr"))
+    if {"top_r", "mono"} & weights.keys():
+        v = _placed(v)
+    if "top_r" in weights:
+        many = F.greatest(F.lit(1), F.floor(F.col("n") * k))
+        top, low = F.avg(F.when(F.col("place") > F.col("n") - many, F.col("r"))), F.avg(F.when(F.col("place") <= many, F.col("r")))
+        aggs["top_r"] = F.when(F.max("n") >= 10, F.greatest(top, low) - F.avg("r"))
+    if "mono" in weights:
+        v = v.withColumn("g", F.ntile(groups).over(Window.partitionBy("ts").orderBy("f", "symbol")))
+        means = [F.avg(F.when(F.col("g") == g, F.col("r"))) for g in range(1, groups + 1)]
+        aggs |= {f"mean{g}": m for g, m in enumerate(means)} | {"assets": F.max("n")}
+    daily = v.groupBy("ts").agg(*[c.alias(n) for n, c in aggs.items()])
+    if "mono" in weights:
+        steps = [(F.col(f"mean{g + 1}"), F.col(f"mean{g}")) for g in range(groups - 1)]
+        up, down = (sum((F.when(a > b if rising else a < b, 1).otherwise(0) for a, b in steps), F.lit(0)) for rising in (True, False))
+        daily = daily.withColumn("mono", F.when(F.col("assets") >= groups, F.greatest(up, down) / float(groups)))
+    total = sum((F.avg(name) * w for name, w in weights.items()), F.lit(0.0))
+    return daily.agg(F.coalesce(total, F.lit(-1.0)).alias("value"))
 
 
 def correlation_fitness(p: Panel, f: str, r: str) -> DataFrame:
