@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampType
 
+from panelforge.sources.stages import stage, unstage
+
 # Column names and labels of the data's public format.
 COLUMNS = ("open_time", "open", "high", "low", "close", "volume", "close_time", "quote_volume", "trades", "taker_buy_base", "taker_buy_quote", "ignore")
 RENAMED = {"count": "trades", "taker_buy_volume": "taker_buy_base", "taker_buy_quote_volume": "taker_buy_quote"}
@@ -84,11 +86,23 @@ def trading_pairs(df: DataFrame, quote: str, symbol: str = "symbol") -> DataFram
     return df.select(symbol).distinct().where(F.col(symbol).endswith(quote)).orderBy(symbol)
 
 
+def active_symbols(listing: DataFrame, quote: str | None = None, status: str = "TRADING") -> DataFrame:
+    """(symbol), distinct, of a listing (symbol, status): those with the status, and of one quote currency."""
+    out = listing.where(F.col("status") == status)
+    return (out if quote is None else out.where(F.col("symbol").endswith(quote))).select("symbol").distinct()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def retry_list(errors: DataFrame, keys: tuple[str, ...] = ("symbol", "interval", "kline_type")) -> DataFrame:
     """The failed tasks of an error log, each once."""
     return errors.select(*keys).dropDuplicates()
 
 
+YEAR_MS = 365 * 86_400_000
 #: Up to so many touched series are looked up by name, which prunes partitions; more by a join.
 MAX_NAMED_SERIES = 10_000
 
@@ -103,9 +117,7 @@ class KlineStore:
     schema: StructType = SCHEMA
 
     def exists(self) -> bool:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        return exists(self.spark, self.path)
 
     def read(self, symbols: list[str] | None = None, start: int | None = None, end: int | None = None, **keys: str) -> DataFrame:
         """Bars of the keys given, both ends of the time range included; an absent store is empty. Keys prune
@@ -130,8 +142,9 @@ class KlineStore:
 
     def write(self, df: DataFrame) -> None:
         """Replace the partitions that df has rows of; the others stay. df must not be read lazily from this
-        store: upsert() takes care of that."""
-        rows = self._aligned(df).repartition(*KEYS).sortWithinPartitions(*KEYS, "timestamp")
+        store: upsert() takes care of that. A long series is a file for each year."""
+        year = F.floor(F.col("timestamp") / YEAR_MS)
+        rows = self._aligned(df).repartition(*KEYS, year).sortWithinPartitions(*KEYS, "timestamp")
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).parquet(self.path)
 
     def upsert(self, new: DataFrame, mode: str = "latest") -> None:
@@ -145,12 +158,11 @@ class KlineStore:
             for k in KEYS:
                 old = old.where(F.col(k).isin(sorted({r[k] for r in named})))
         old = old.join(touched, list(KEYS), "left_semi")
-        aside = f"{self.path.rstrip('/')}__merging"
-        merged(old, new, mode).write.mode("overwrite").parquet(aside)
-        self.write(self.spark.read.schema(self.schema).parquet(aside))
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(aside)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        aside = stage(merged(old, new, mode), "merging")
+        try:
+            self.write(aside)
+        finally:
+            unstage(aside)
 
     def high_water_mark(self) -> DataFrame:
         return high_water_mark(self.read())

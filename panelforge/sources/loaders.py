@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import importlib
 import io
+import json
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -16,7 +17,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
 from panelforge.plans.panel import Panel, union_sources
-from panelforge.sources.ingest import RAW, pages
+from panelforge.sources.ingest import RAW, SourceError, pages, with_retries
+from panelforge.sources.klines import exists
 
 
 class Loader(Protocol):
@@ -67,7 +69,10 @@ class Sources:
 
 
 def read_feather(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Feather files below path, read on the executors, columns by name; a file that is corrupt gives no rows."""
+    """Feather files below path, read on the executors, columns by name; a file that is corrupt gives no rows, and
+    neither does a path that does not exist."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.feather").load(path)
     out = StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
@@ -89,23 +94,25 @@ def read_feather(spark: SparkSession, path: str, schema: StructType | str) -> Da
 
 
 class PagedBars(DataSource):
-    """Raw bars of paged functions, one task per symbol. Options: function ("module:name", called with symbol,
-    from_ms and limit, on the executors), symbols (comma-joined), start, end, limit."""
+    """Raw bars of paged functions, one partition per task. Options: function ("module:name", on the executors), end,
+    limit, throttle, and either symbols (comma-joined; function(symbol, from_ms, limit)) and start, or tasks (a JSON
+    list of objects symbol, kline_type, interval, start; function(symbol, kline_type, interval, from_ms, limit)).
+    A task that fails gives, after what it has had, one row with the error and no bar."""
 
     @classmethod
     def name(cls) -> str:
         return "paged_bars"
 
     def schema(self) -> StructType:
-        return StructType([*RAW.fields, StructField("symbol", StringType())])
+        return StructType([*RAW.fields, *[StructField(c, StringType()) for c in ("symbol", "kline_type", "interval", "error")]])
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _PagedReader(dict(self.options))
 
 
-class _Symbol(InputPartition):
-    def __init__(self, symbol: str):
-        self.symbol = symbol
+class _Task(InputPartition):
+    def __init__(self, keys: tuple, start: int):
+        self.keys, self.start = keys, start
 
 
 class _PagedReader(DataSourceReader):
@@ -113,12 +120,18 @@ class _PagedReader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[InputPartition]:
-        return [_Symbol(s) for s in self.options["symbols"].split(",") if s]
+        if "tasks" in self.options:
+            return [_Task((t["symbol"], t["kline_type"], t["interval"]), int(t.get("start") or 0)) for t in json.loads(self.options["tasks"])]
+        return [_Task((s,), int(self.options.get("start", 0))) for s in self.options["symbols"].split(",") if s]
 
-    def read(self, partition: _Symbol) -> Iterator[tuple]:
+    def read(self, partition: _Task) -> Iterator[tuple]:
         module, name = self.options["function"].split(":")
         call = getattr(importlib.import_module(module), name)
-        end = self.options.get("end")
-        for page in pages(lambda at, n: call(partition.symbol, at, n), int(self.options.get("start", 0)), int(end) if end else None, int(self.options.get("limit", 1000))):
-            for r in page:
-                yield (*[None if v is None else str(v) for v in r[:12]], partition.symbol)
+        end, keys = self.options.get("end"), (*partition.keys, None, None)[:3]
+        retries, wait = int(self.options.get("retries", 2)), float(self.options.get("wait", 5))
+        try:
+            for page in pages(lambda at, n: with_retries(lambda: call(*partition.keys, at, n), retries, wait), partition.start, int(end) if end else None, int(self.options.get("limit", 1000)), retries=0, throttle=float(self.options.get("throttle", 0))):
+                for r in page:
+                    yield (*[None if v is None else str(v) for v in r[:12]], *keys, None)
+        except SourceError as e:
+            yield (*[None] * 12, *keys, str(e))

@@ -57,3 +57,15 @@ def parse_time_column(text: Column) -> Column:
 def ms_to_date(ms: Column) -> Column:
     """The UTC date of epoch milliseconds, as yyyy-MM-dd."""
     return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ms / 86_400_000).cast("int")).cast("string")
+
+
+#: Milliseconds of a unit; months and years have no fixed length.
+_UNITS = {"ms": 1, "s": 1000, "m": 60_000, "min": 60_000, "h": 3_600_000, "d": 86_400_000, "w": 604_800_000}
+
+
+def duration_ms(text: str) -> int:
+    """Milliseconds of a duration such as "1h", "15m" or "2 d"; a bare unit is one of it."""
+    m = re.fullmatch(r"\s*(\d*)\s*([a-z]+)\s*", text.lower())
+    if not m or m[2] not in _UNITS or m[1] == "0":
+        raise ValueError(f"not a duration of fixed length: {text!r}")
+    return int(m[1] or 1) * _UNITS[m[2]]

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from panelforge.sources.ingest import open_zips
 from panelforge.sources.klines import KEYS, KlineStore, canonical, stamped
+from panelforge.sources.loaders import PagedBars
+from panelforge.sources.stages import stage, unstage
 
 
 def bar_files(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 100) -> DataFrame:
@@ -22,7 +26,7 @@ def upsert_stream(stream: DataFrame, store: KlineStore, checkpoint: str, keys: d
     run again changes nothing, so each row counts once. Stops when all that has landed is taken in."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        df = stamped(canonical(batch))
+        df = stamped(canonical(batch)).drop("file")
         for k in KEYS:
             if k not in df.columns:
                 df = df.withColumn(k, F.lit((keys or {}).get(k, "")))
@@ -46,18 +50,30 @@ def tumbling_bars(events: DataFrame, width: str, late: str, symbol: str, ts: str
     ).select("symbol", F.col("window.start").alias("ts"), "open", "high", "low", "close", "volume", "trades")
 
 
-def poll(store: KlineStore, fetch: Callable[[str, int | None], DataFrame | None], symbols: list[str], keys: dict[str, str]) -> DataFrame | None:
-    """One round of incremental updates: for each symbol fetch(symbol, newest stored timestamp) gives newer raw
-    bars or None; all of them are upserted at once. Returns what was written."""
-    marks = {r["symbol"]: r["last_ts"] for r in store.high_water_mark().where(F.col("symbol").isin(symbols)).collect()}  # one row per symbol asked for
-    new = [df.withColumn("symbol", F.lit(s)) for s in symbols if (df := fetch(s, marks.get(s))) is not None]
-    if not new:
-        return None
-    out = new[0]
-    for df in new[1:]:
-        out = out.unionByName(df, allowMissingColumns=True)
-    out = stamped(canonical(out))
-    for k, v in keys.items():
-        out = out.withColumn(k, F.lit(v))
-    store.upsert(out)
-    return out
+def zip_files(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
+    """A stream of zipped CSV files as they land: raw rows with their file; those of files that cannot be read go
+    (open_zips() over the stream's files keeps their errors)."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.zip").option("maxFilesPerTrigger", files_per_batch).load(path)
+    return open_zips(files).where("error is null").drop("error")
+
+
+def poll(store: KlineStore, function: str, symbols: list[str], kline_types: list[str], intervals: list[str], exchange: str, start: int = 0, options: dict[str, str] | None = None, errors: str | None = None) -> DataFrame:
+    """One round of incremental updates of symbols x kline types x intervals, one task each: function
+    ("module:name", see PagedBars) gives the bars after each series' newest stored one, or from start on, and all are
+    upserted at once. A task that fails loses no other's bars. Returns its record (symbol, kline_type, interval,
+    error_message, timestamp), staged, and appends it to the JSON table at errors, whose retry_list() is what to try
+    again."""
+    spark = store.spark
+    marks = store.high_water_mark().where((F.col("exchange") == exchange) & F.col("symbol").isin(symbols))
+    known = {(r["symbol"], r["kline_type"], r["interval"]): r["last_ts"] for r in marks.collect()}  # one row per series asked for
+    tasks = [{"symbol": s, "kline_type": k, "interval": i, "start": known[s, k, i] + 1 if (s, k, i) in known else start} for s, k, i in product(symbols, kline_types, intervals)]
+    spark.dataSource.register(PagedBars)
+    got = stage(spark.read.format("paged_bars").options(function=function, tasks=json.dumps(tasks), **(options or {})).load(), "polled")
+    new = stamped(canonical(got.where("error is null").drop("error"))).withColumn("exchange", F.lit(exchange))
+    if not new.isEmpty():
+        store.upsert(new)
+    failed = stage(got.where("error is not null").select("symbol", "kline_type", "interval", F.col("error").alias("error_message"), F.current_timestamp().alias("timestamp")), "failed")
+    unstage(got)
+    if errors and not failed.isEmpty():
+        failed.write.mode("append").json(errors)
+    return failed

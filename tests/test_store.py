@@ -1,3 +1,4 @@
+import io
 import json
 import zipfile
 from datetime import UTC, datetime, timedelta, timezone
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from panelforge.sources import ingest, klines, quality
 from panelforge.sources.klines import KlineStore
-from panelforge.sources.timeparse import ms_to_date, parse_time, parse_time_column
+from panelforge.sources.timeparse import duration_ms, ms_to_date, parse_time, parse_time_column
 from panelforge.streaming import updates
 
 KEYS = {"exchange": "x", "kline_type": "swap", "interval": "1h"}
@@ -84,6 +85,9 @@ def test_pages_stop_where_they_should():
     assert sum(len(p) for p in ingest.pages(fetch, 0, end=450, limit=3)) == 5
     assert sum(len(p) for p in ingest.pages(fetch, 0, limit=3, total=7)) == 7
 
+    waits.clear()
+    assert sum(len(p) for p in ingest.pages(lambda start, limit: [r for r in have if r[0] >= start][:limit], 0, limit=4, sleep=waits.append, throttle=0.2)) == 10 and waits == [0.2, 0.2]
+
     def broken(start, limit):
         raise OSError("always")
 
@@ -96,7 +100,18 @@ def test_parameters():
     for bad in (("um", "daily", "klines", "1s"), ("um", "hourly", "klines", "1h"), ("spot", "daily", "fundingRate", None), ("um", "daily", "klines", "7m")):
         with pytest.raises(ingest.BadParameters):
             ingest.check_parameters(*bad)
-    assert ingest.listed_keys("<Key>a/A-1h.zip</Key><Key>a/B.txt</Key><IsTruncated>true</IsTruncated>", ["Z"]) == ([], "a/B.txt")
+    assert ingest.listed_keys("<L><Key>a/A-1h.zip</Key><Key>a/B.txt</Key><IsTruncated>true</IsTruncated></L>", ["Z"]) == ([], "a/B.txt")
+    assert ingest.listed_keys('<L xmlns="x"><Key>a/A&amp;B-1h.zip</Key><IsTruncated> False</IsTruncated></L>') == (["a/A&B-1h.zip"], None)
+
+
+def test_durations_and_active_symbols(spark):
+    assert [duration_ms(x) for x in ("1h", "15m", "2 D", "w", "500ms")] == [3_600_000, 900_000, 172_800_000, 604_800_000, 500]
+    for bad in ("1mo", "", "0h", "h1", "1y"):
+        with pytest.raises(ValueError):
+            duration_ms(bad)
+    listing = spark.createDataFrame([("AUSDT", "TRADING"), ("BUSDT", "BREAK"), ("CBTC", "TRADING"), ("AUSDT", "TRADING"), (None, None)], "symbol string, status string")
+    assert sorted(r[0] for r in klines.active_symbols(listing).collect()) == ["AUSDT", "CBTC"]
+    assert [r[0] for r in klines.active_symbols(listing, "USDT").collect()] == ["AUSDT"]
 
 
 def test_files(spark, tmp_path):
@@ -108,13 +123,82 @@ def test_files(spark, tmp_path):
         with zipfile.ZipFile(tmp_path / f"AUSDT-1h-{day}.zip", "w") as z:
             z.writestr("x.csv", "open_time,open\n" + line + "\n")
     (tmp_path / "BUSDT-1h-2024-01-02.zip").write_bytes(b"no zip")
+    good = (tmp_path / "AUSDT-1h-2024-01-01.zip").read_bytes()
+    long = io.BytesIO()
+    with zipfile.ZipFile(long, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("x.csv", (line + "\n") * 500)
+    for name, data in {"cut": good[:-30], "deflate": long.getvalue()[:60] + bytes(40) + long.getvalue()[100:]}.items():
+        (tmp_path / f"{name}.zip").write_bytes(data)
+    with zipfile.ZipFile(tmp_path / "nothing.zip", "w") as z:
+        z.writestr("x.txt", "no table")
+    with zipfile.ZipFile(tmp_path / "ragged.zip", "w") as z:
+        z.writestr("x.csv", line + "\n" + line + ",1,2\n")
+    bad = {r["file"].rpartition("/")[2]: r["error"] for r in ingest.bad_zips(spark, str(tmp_path)).collect()}
+    assert set(bad) == {"BUSDT-1h-2024-01-02.zip", "cut.zip", "deflate.zip", "nothing.zip"} and all(bad.values())
     df = ingest.read_zip(spark, str(tmp_path))
+    assert df.where("file LIKE '%ragged%'").count() == 2
+    df = df.where("file NOT LIKE '%ragged%'")
     assert df.count() == 2 and {r[0] for r in df.select(ingest.file_symbol(F.col("file"))).collect()} == {"AUSDT"}
-    assert ingest.read_zip(spark, str(tmp_path), "2024-01-02").count() == 1
+    assert ingest.read_zip(spark, str(tmp_path), "2024-01-02").where("file LIKE '%AUSDT%'").count() == 1
     one = spark.createDataFrame([("a",), ("b",)], "path string")
     assert [r["path"] for r in ingest.missing_files(one, one.where("path = 'a'")).collect()] == ["b"]
 
 
+def test_landing(spark, tmp_path):
+    """Files are fetched once, failed ones again."""
+    (tmp_path / "remote").mkdir()
+    for name in ("A-1h-2024-01-01.zip", "B-1h-2024-01-01.zip"):
+        with zipfile.ZipFile(tmp_path / "remote" / name, "w") as z:
+            z.writestr("x.csv", ",".join(map(str, raw(100))) + "\n")
+    (tmp_path / "landing_source.py").write_text("def get(path):\n    open(path + '.log', 'a').write('x')\n    return open(path, 'rb').read()\n")
+    spark.sparkContext.addPyFile(str(tmp_path / "landing_source.py"))
+    names = [str(tmp_path / "remote" / f"{x}-1h-2024-01-01.zip") for x in "ABC"]
+    (tmp_path / "remote" / "C-1h-2024-01-01.zip").write_bytes(b"not yet")
+    available = spark.createDataFrame([(n,) for n in names], "path string")
+    failed = ingest.land(available, str(tmp_path / "landing"), "landing_source:get")
+    assert [r["file"] for r in failed.collect()] == names[2:]
+    (tmp_path / "remote" / "C-1h-2024-01-01.zip").write_bytes((tmp_path / "remote" / "A-1h-2024-01-01.zip").read_bytes())
+    assert ingest.land(available, str(tmp_path / "landing"), "landing_source:get").count() == 0
+    assert ingest.land(available, str(tmp_path / "landing"), "landing_source:get").count() == 0
+    assert sorted(r["file"] for r in spark.read.parquet(str(tmp_path / "landing" / "bars")).collect()) == names
+    assert [len(open(n + ".log").read()) for n in names] == [1, 1, 2]
+
+
+def test_polling(spark, tmp_path):
+    """Symbols x types x intervals from where the store ends; a failing series loses no other's bars."""
+    (tmp_path / "poll_source.py").write_text(
+        "def rows(symbol, kind, interval, start, limit):\n"
+        "    if symbol == 'BAD' and kind == 'spot':\n        raise OSError('down')\n"
+        "    have = [[t, 1, 3, 0.5, 2, 10, t + 99, 20, 5, 1, 2, 0] for t in range(0, 1000, 100)]\n"
+        "    return [r for r in have if r[0] >= start][:limit]\n"
+    )
+    spark.sparkContext.addPyFile(str(tmp_path / "poll_source.py"))
+    store = KlineStore(spark, str(tmp_path / "store"))
+    store.upsert(bars(spark, [raw(0), raw(300)]).withColumn("kline_type", F.lit("spot")))
+    args = ("poll_source:rows", ["AUSDT", "BAD"], ["spot", "mark"], ["1h", "1d"], "x")
+    log = str(tmp_path / "errors")
+    failed = updates.poll(store, *args, options={"limit": "4", "retries": "1", "wait": "0"}, errors=log)
+    assert sorted((r["symbol"], r["kline_type"], r["interval"], r["error_message"]) for r in failed.collect()) == [("BAD", "spot", "1d", "down"), ("BAD", "spot", "1h", "down")]
+    got = {(r["symbol"], r["kline_type"], r["interval"]): r["n"] for r in store.read().groupBy("symbol", "kline_type", "interval").agg(F.count("*").alias("n")).collect()}
+    assert got == {("AUSDT", "spot", "1h"): 8, ("AUSDT", "spot", "1d"): 10, ("AUSDT", "mark", "1h"): 10, ("AUSDT", "mark", "1d"): 10, ("BAD", "mark", "1h"): 10, ("BAD", "mark", "1d"): 10}
+    before = store.read().count()
+    updates.poll(store, *args, options={"retries": "0"}, errors=log)
+    assert store.read().count() == before and klines.retry_list(spark.read.json(log)).count() == 2
+
+
+def test_zipped_stream(spark, tmp_path):
+    land = tmp_path / "land"
+    land.mkdir()
+    for k in range(3):
+        with zipfile.ZipFile(land / f"AUSDT-1h-2024-01-0{k + 1}.zip", "w") as z:
+            z.writestr("x.csv", ",".join(map(str, raw(100 * k))) + "\n")
+    (land / "BUSDT-1h-2024-01-01.zip").write_bytes(b"no zip")
+    store = KlineStore(spark, str(tmp_path / "store"))
+    for _ in range(2):
+        updates.upsert_stream(updates.zip_files(spark, str(land), 2), store, str(tmp_path / "cp"), KEYS | {"symbol": "AUSDT"}).awaitTermination()
+    assert sorted(r["timestamp"] for r in store.read().collect()) == [0, 100, 200]
+
+
 def test_fake_tails(spark):
     rows = [(s, t, 1.0, 1.0, 1.0, 1.0, 0.0 if flat else 5.0) for s, flags in (("a", [0, 1, 0, 1, 1]), ("b", [0, 1]), ("c", [1, 1]), ("d", [0, 0])) for t, flat in enumerate(flags)]
     df = spark.createDataFrame(rows, "symbol string, timestamp long, open double, high double, low double, close double, volume double")
@@ -136,8 +220,6 @@ def test_streams(spark, tmp_path):
     for _ in range(2):
         updates.upsert_stream(updates.bar_files(spark, str(land), ingest.RAW, 1), store, str(tmp_path / "cp"), KEYS | {"symbol": "AUSDT"}).awaitTermination()
     assert sorted(r["timestamp"] for r in store.read().collect()) == [0, 100, 200, 300]
-    out = updates.poll(store, lambda s, last: ingest.from_rows(spark, [raw(last + 100)]) if last is not None else None, ["AUSDT", "NONE"], KEYS)
-    assert out.count() == 1 and store.read().count() == 5
 
     events = tmp_path / "events"
     t0 = datetime(2024, 1, 1, tzinfo=UTC)
