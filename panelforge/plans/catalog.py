@@ -15,9 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.functions.probit import CENTRAL, MIDDLE
 from panelforge.plans import metrics as M
-from panelforge.plans.expr import evaluate
+from panelforge.plans.expr import dialect, evaluate, legacy
 from panelforge.plans.panel import Panel, bars
 from panelforge.sources import ingest, klines, quality, timeparse
 from panelforge.sources.stages import shared_folder, stage
@@ -124,6 +123,32 @@ _expression("e_sign", "sign(subtract(close, open))", "sign(close - open)")
 _expression("e_signed_power", "signed_power(subtract(close, open), 2.0)", "sign(close - open) * pow(abs(close - open), 2)")
 _expression("e_power", "power(trades, 2)", "pow(trades, 2)")
 
+
+
+def _registered(name: str, registry: Callable, expression: str, sql: str) -> None:
+    """A query of an expression of another registry than the native one."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return evaluate(panel_a(spark, sf_dir).densify(), {"value": expression}, registry()).df.select("symbol", "ts", rounded(F.col("value")).alias("v"))
+
+    run.__name__ = name
+    QUERIES[name] = run
+    ORACLE[name] = _with("a") + f"SELECT symbol, ts, {rounded_sql(sql)} AS v FROM panel"
+
+
+_registered("dialect_add_nf", dialect, "add_nf(close, 2.5)", "close + 2.5")
+_registered("dialect_subtract_fn", dialect, "subtract_fn(100.0, close)", "100 - close")
+_registered("dialect_multiply_ff", dialect, "multiply_nf(close, multiply_ff(3.0, 0.5))", "close * 1.5")
+_registered("dialect_divide_fn", dialect, "divide_fn(2.0, subtract(close, open))", "CASE WHEN close - open = 0 THEN 1e6 ELSE 2 / (close - open) END")
+_registered("dialect_divide_nf", dialect, "divide_nf(close, 4.0)", "close / 4")
+_registered("dialect_max_nf", dialect, "max_nf(subtract(close, open), 0.0)", "CASE WHEN close - open IS NOT NULL THEN greatest(close - open, 0) END")
+_registered("dialect_min_fn", dialect, "min_fn(0.0, subtract(close, open))", "CASE WHEN close - open IS NOT NULL THEN least(close - open, 0) END")
+_registered("dialect_inverse_f", dialect, "multiply_fn(inverse_f(8.0), add_fn(reverse_f(1.0), close))", "0.125 * (close - 1)")
+_registered("dialect_signed_power", dialect, "signed_power(subtract(close, open), 2)", "sign(close - open) * pow(abs(close - open), 2)")
+_registered("legacy_divide", legacy, "divide(volume, subtract(close, open))", "CASE WHEN close - open = 0 THEN 1e16 ELSE volume / (close - open) END")
+_registered("legacy_names", legacy, "delta(fabs(subtract(close, delay(close, 1))), 2)", "close")
+ORACLE["legacy_names"] = _with("a", f"steps AS (SELECT *, abs(close - lag(close, 1) OVER {TSW}) AS y FROM panel)") + f"SELECT symbol, ts, {rounded_sql(f'y - lag(y, 2) OVER {TSW}')} AS v FROM steps"
+
 # Cross-section.
 _CS = "OVER (PARTITION BY ts)"
 _RANK = "CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY ts ORDER BY {x} ASC NULLS LAST) + count({x}) OVER (PARTITION BY ts ORDER BY {x} ASC NULLS LAST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) / 2.0 END"
@@ -159,21 +184,13 @@ def _add_cross_section() -> None:
         steps=legs, frm="centred",
     )
     share = f"""ranked AS (SELECT *, {_RANK.format(x="close")} AS rk, count(close) {_CS} AS n FROM panel),
-shares AS (SELECT *, CASE WHEN rk IS NOT NULL THEN greatest(least(rk / n, 1 - 0.5 / n), 0.5 / n) END AS p FROM ranked),
-tails AS (SELECT *, p - 0.5 AS q, CASE WHEN p > 0 AND p < 1 THEN sqrt(-ln(least(p, 1 - p))) END AS t FROM shares)"""
-
-    def horner(k: list[float], x: str) -> str:
-        out = repr(float(k[-1]))
-        for v in reversed(k[:-1]):
-            out = f"({out}) * ({x}) + {float(v)!r}"
-        return f"({out})"
-
-    def ratio(parts, x: str) -> str:
-        return f"{horner(parts[0], x)} / {horner(parts[1], x)}"
+shares AS (SELECT *, CASE WHEN rk IS NOT NULL THEN greatest(least(rk / n, 1 - 0.5 / n), 0.5 / n) END AS p FROM ranked)"""
 
-    probit = f"CASE WHEN abs(q) <= 0.425 THEN q * {ratio(CENTRAL, '0.180625 - q * q')} WHEN q < 0 THEN -({ratio(MIDDLE, 't - 1.6')}) ELSE {ratio(MIDDLE, 't - 1.6')} END"
-    _column("cs_quantile_gaussian", lambda: cs.quantile(F.col("close")), f"CASE WHEN p IS NOT NULL THEN {probit} END", steps=(share,), frm="tails")
-    _column("cs_quantile_cauchy", lambda: cs.quantile(F.col("close"), "cauchy", 2.0), f"2 * tan({math.pi!r} * (p - 0.5))", steps=(share,), frm="tails")
+    # the distribution function by its series, inverted by Newton's steps from a logistic start: no coefficients
+    series = "exp(-z * z / 2) / sqrt(2 * pi()) * sign(z) * list_sum(list_transform(range(0, 60), lambda k: CASE WHEN z = 0 THEN 0 ELSE exp((2 * k + 1) * ln(abs(z)) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1)) END))"
+    newton = [f"z{k + 1} AS (SELECT * REPLACE (z - (0.5 + {series} - p) * sqrt(2 * pi()) * exp(z * z / 2) AS z) FROM z{k})" for k in range(6)]
+    _column("cs_quantile_gaussian", lambda: cs.quantile(F.col("close")), "CASE WHEN p IS NOT NULL THEN z END", steps=(share, "z0 AS (SELECT *, ln(p / (1 - p)) / 1.7 AS z FROM shares)", *newton), frm="z6")
+    _column("cs_quantile_cauchy", lambda: cs.quantile(F.col("close"), "cauchy", 2.0), f"2 * tan({math.pi!r} * (p - 0.5))", steps=(share,), frm="shares")
     _column("cs_quantile_uniform", lambda: cs.quantile(F.col("close"), "uniform"), f"close - avg(close) {_CS}")
 
 
