@@ -15,11 +15,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelforge.plans import gp
 from panelforge.plans import metrics as M
-from panelforge.plans.expr import dialect, evaluate, legacy
+from panelforge.plans.expr import dialect, evaluate, legacy, native, parse
 from panelforge.plans.panel import Panel, bars
 from panelforge.sources import ingest, klines, quality, timeparse
 from panelforge.sources.stages import shared_folder, stage
+from panelforge.streaming import updates
 
 PLACES = 1e6
 
@@ -358,6 +360,51 @@ _single(
 _single("m_fitness_correlation", (_RIC,), _one("coalesce(avg(v), '-inf'::DOUBLE)", "ric"), lambda p: M.correlation_fitness(p, "f", "fwd_ret"))
 
 
+# One generation of the search: the mean rank IC of eight expressions, from one job.
+_POPULATION = {
+    "rank(close)": _RANK.format(x="close"),
+    "ts_delay(close, 3)": f"lag(close, 3) OVER {TSW}",
+    "divide(close, volume)": "CASE WHEN volume = 0 THEN 1e6 ELSE close / volume END",
+    "ts_mean(volume, 3)": _roll("avg", "volume", 3),
+    "reverse(close)": "-close",
+    "subtract(high, low)": "high - low",
+    "ts_sum(trades, 4)": _roll("sum", "trades", 4),
+    "multiply(close, volume)": "close * volume",
+}
+
+
+def _population_sql() -> str:
+    parts = []
+    for e, sql in _POPULATION.items():
+        pairs = f"(SELECT * FROM (SELECT symbol, ts, {sql} AS f, fwd_ret AS r FROM ret) WHERE f IS NOT NULL AND r IS NOT NULL)"
+        ranks = f"(SELECT ts, {_RANK.format(x='f')} AS fr, {_RANK.format(x='r')} AS rr FROM {pairs})"
+        parts.append(f"SELECT '{e}' AS expression, round_even(avg(v) * 1e6, 0) / 1e6 AS fitness FROM (SELECT ts, {_CORR.format(x='fr', y='rr')} AS v FROM {ranks} GROUP BY ts)")
+    return _with("a", RETURNS_SQL) + " UNION ALL ".join(parts)
+
+
+@_query("gp_population_fitness", _population_sql())
+def _(spark, sf_dir):
+    panel = panel_a(spark, sf_dir).densify().forward_returns().trim()
+    trees = [parse(e, native(), panel.fields) for e in _POPULATION]
+    fitness = gp.rank_ic_fitness(panel, trees, native())
+    rows = spark.createDataFrame([(e, fitness[str(t)]) for e, t in zip(_POPULATION, trees, strict=True)], "expression string, fitness double")
+    return rows.select("expression", rounded(F.col("fitness")).alias("fitness"))
+
+
+@_query("stream_bars", "SELECT user_id AS symbol, CAST(ts AS DATE) AS ts, max(value) AS high, min(value) AS low, round_even(sum(value) * 1e6, 0) / 1e6 AS volume, count(*) AS trades FROM events GROUP BY user_id, CAST(ts AS DATE) HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+def _(spark, sf_dir):
+    """Daily bars of the stream of events that have landed, those that the watermark has closed."""
+    schema = _table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    # the table's times have no zone: they are taken as UTC, whatever the session's is
+    seconds = F.datediff("ts", F.lit("1970-01-01").cast("date")).cast("long") * 86400 + F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
+    events = events.withColumn("ts", F.timestamp_seconds(seconds))
+    folder = f"{shared_folder(spark)}/panel-{uuid.uuid4().hex[:12]}"
+    bars_ = updates.tumbling_bars(events, "1 day", "1 hour", "user_id", "ts", "value", "value")
+    updates.append_stream(bars_, f"{folder}/bars", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema(bars_.schema).parquet(f"{folder}/bars").select("symbol", F.date_from_unix_date((F.unix_seconds("ts") / 86400).cast("int")).alias("ts"), "high", "low", rounded(F.col("volume")).alias("volume"), "trades")
+
+
 #: The two-sided 5 % point of the normal distribution bounds that of t from below; from 10,000 pairs on they agree to 4 digits.
 _SPEARMAN = "WITH one AS (SELECT 0 AS ts, {x} AS f, {y} AS r FROM lineitem), ranked AS (SELECT {rf} AS fr, {rr} AS rr FROM one), rho AS (SELECT {corr} AS v, count(*) AS n FROM ranked) SELECT round_even((CASE WHEN v IS NOT NULL AND abs(v) * sqrt((n - 2) / (1 - v * v)) > 1.96 THEN v ELSE 0 END) * 1e6, 0) / 1e6 AS v FROM rho"
 

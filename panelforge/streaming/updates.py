@@ -41,6 +41,11 @@ def failed_rows(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery
     return stream.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def append_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append what a stream has finished to a Parquet table. Stops when all that has landed is taken in."""
+    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
 def tumbling_bars(events: DataFrame, width: str, late: str, symbol: str, ts: str, price: str, volume: str) -> DataFrame:
     """Open, high, low, close and volume per symbol and window of event time; a window is final once the
     watermark, ``late`` behind the newest event, has passed its end."""
