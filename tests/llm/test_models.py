@@ -155,6 +155,20 @@ def test_suffix_tree(spark):
     assert all(r["train_tokens"] == 0 and math.isclose(r["base_score"], 0, abs_tol=1e-9) for r in suffixtree.score(docs, blank, none).collect())
 
 
+def test_tree_of_a_bounded_size(spark, monkeypatch):
+    """The most frequent words and followers, whole counts at a time; what is left out still counts for the base."""
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, prose(rng, 50), "", "") for i in range(80)], DOCS)
+    whole, counts = suffixtree.train(docs)
+    monkeypatch.setattr(suffixtree, "MOST_WORDS", 50)
+    monkeypatch.setattr(suffixtree, "MOST", 20)
+    small, again = suffixtree.train(docs)
+    assert 0 < len(small.words) <= 50 < len(whole.words) and all(len(x["entry"]) <= 20 for x in small.levels)
+    assert small.counts.min() > np.sort(whole.counts)[-51]
+    a, b = ({r["doc_id"]: r["base_score"] for r in suffixtree.score(docs, *m).collect()} for m in ((whole, counts), (small, again)))
+    assert all(math.isclose(a[i], b[i], rel_tol=1e-9) for i in a)
+
+
 def test_states_are_distributions(spark):
     """What a state gives all known words and one unknown word sums to one."""
     rng = random.Random(4)

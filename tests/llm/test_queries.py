@@ -285,7 +285,7 @@ def slow_score(tree, x):
         context = [w[j] if j >= 0 else start for j in range(k - 1, k - 1 - len(tree.levels), -1)]
         for depth, level in enumerate(tree.levels, 1):
             own = context[:depth]
-            if any(c < 0 for c in own) or (start in own[:-1]) or (depth > 1 and start in own):
+            if any(c < 0 for c in own) or start in own[:-1]:
                 break
             key = 0
             for c in reversed(own):
