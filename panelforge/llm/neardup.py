@@ -33,7 +33,7 @@ from panelforge.llm.components import connected_components
 
 MOST_SLOTS, MANTISSA, MISS, STARS = 96, 10, 1e-7, 2
 #: Members of a block of registers; rows and bytes of a block of texts.
-BLOCK, TEXTS, BYTES = 1024, 256, 8 << 20
+BLOCK, TEXTS, BYTES = 256, 256, 8 << 20
 #: Ids are broadcast to the text scan up to this many rows (about 32 MB); beyond it, both sides shuffle.
 MAX_BROADCAST_ROWS = 500_000
 
