@@ -265,11 +265,17 @@ def _confirm(shingle: int, num: int, den: int):
 
 def _dealt(members: DataFrame, blocks, parts: int) -> DataFrame:
     """members (family, node, ...) dealt into ``blocks`` (a Column over rows and bytes of a family) and those
-    into pairs of blocks: (family, i, j, id, ...), units together and in order."""
+    into pairs of blocks: (family, i, j, part, id, ...); units of one family are of neighbouring parts."""
     sizes = members.groupBy("family").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).withColumn("nb", blocks.cast("int")).select("family", "nb")
     dealt = join_grouped(members, sizes, ["family"]).withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")}).drop("b", "o", "nb")
-    return dealt.withColumnRenamed("node", "id").repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j")
+    unit = F.pmod(F.xxhash64("family"), F.lit(parts)) + F.expr("CAST(j AS BIGINT) * (j + 1) DIV 2 + i")
+    return dealt.withColumnRenamed("node", "id").withColumn("part", F.pmod(unit, F.lit(parts)).cast("int"))
+
+
+def _gathered(dealt: DataFrame, parts: int) -> DataFrame:
+    """Each unit in one task, its rows together, and the units of a family in different tasks."""
+    return dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("family", "i", "j")
 
 
 def _families(crowded: DataFrame, name: str) -> DataFrame:
@@ -314,13 +320,13 @@ class _Search:
         own = crowded.select(F.col("rep").alias("node"), "component").distinct()
         of = self.classes.select(F.col("rep").alias("node"), "n", "size", "reg")
         members = family.join(own, "node").join(of, "node").select("family", "node", "n", "size", "component", "reg")
-        dealt = _dealt(members, F.ceil(F.col("rows") / BLOCK), self.parts).select("family", "i", "j", "id", "n", "component", "reg")
+        dealt = _gathered(_dealt(members, F.ceil(F.col("rows") / BLOCK), self.parts), self.parts).select("family", "i", "j", "id", "n", "component", "reg")
         alike = connected_components(dealt.mapInArrow(_alike(self.slots, self.floor), "u long, v long"), "alike").withColumnRenamed("component", "family")
         of = self.classes.groupBy(F.col("rep").alias("node")).agg(F.max("size").alias("size"))
         texts = self.texts(alike.select("node").distinct())
         dealt = _dealt(alike.join(of, "node"), F.greatest(F.ceil(F.col("rows") / TEXTS), F.ceil(F.col("bytes") / BYTES)), self.parts)
-        units = dealt.join(texts.withColumnRenamed("node", "id"), "id").select("family", "i", "j", "id", "text")
-        units = units.repartition(self.parts, "family", "i", "j").sortWithinPartitions("family", "i", "j")
+        units = dealt.join(texts.withColumnRenamed("node", "id"), "id").select("family", "i", "j", "part", "id", "text")
+        units = _gathered(units, self.parts).select("family", "i", "j", "id", "text")
         out = staged(units.mapInArrow(_confirm(self.shingle, self.num, self.den), "u long, v long"), "links")
         release(texts)
         return out
