@@ -1,12 +1,15 @@
-"""The bar store: one Parquet table, partitioned by exchange, symbol, kline type and interval."""
+"""The bar store: one Parquet table, partitioned by exchange, kline type, interval and bucket of symbols."""
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 from panelforge.sources.stages import stage, unstage
 
@@ -102,15 +105,33 @@ def retry_list(errors: DataFrame, keys: tuple[str, ...] = ("symbol", "interval",
     return errors.select(*keys).dropDuplicates()
 
 
-YEAR_MS = 365 * 86_400_000
-#: Up to so many touched series are looked up by name, which prunes partitions; more by a join.
-MAX_NAMED_SERIES = 10_000
+#: Folders that the symbols of an exchange, kline type and interval are dealt to, by their CRC-32: there are never more files
+#: than data, however many series there are. A store's reads depend on it: it is fixed.
+BUCKETS = 256
+#: Folders of the store, outermost first.
+FOLDERS = ("exchange", "kline_type", "interval", "symbol_bucket")
+#: Up to so many touched folders are looked up by name, which prunes partitions; more by a join.
+MAX_NAMED_FOLDERS = 10_000
+_SERIES_PATH = re.compile("/".join(f"{k}=(.*)" for k in KEYS))
+
+
+def _bucket(symbol: Column) -> Column:
+    return (F.crc32(symbol.cast("binary")) % BUCKETS).cast("int")
+
+
+def _same(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> Column:
+    """Equal in all keys, missing ones being equal."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & left[k].eqNullSafe(right[f"__{k}"])
+    return out
 
 
 @dataclass(frozen=True)
 class KlineStore:
     """A store at a path that all executors see. schema: its columns, KEYS among them; it is stated, so that
-    no read has to open every file for it."""
+    no read has to open every file for it. A series lies with others in the files of its bucket, sorted by
+    symbol and time: a read of some symbols opens their buckets and skips the row groups of others."""
 
     spark: SparkSession
     path: str
@@ -119,20 +140,37 @@ class KlineStore:
     def exists(self) -> bool:
         return exists(self.spark, self.path)
 
+    def _stored(self) -> DataFrame:
+        """All rows with the bucket they lie in; an absent store is empty."""
+        schema = StructType([*self.schema.fields, StructField("symbol_bucket", IntegerType())])
+        if not self.exists():
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.path).select(*schema.names)
+
     def read(self, symbols: list[str] | None = None, start: int | None = None, end: int | None = None, **keys: str) -> DataFrame:
         """Bars of the keys given, both ends of the time range included; an absent store is empty. Keys prune
-        partitions, times are pushed down to the files."""
+        partitions, symbols and times are pushed down to the files."""
         unknown = keys.keys() - set(KEYS)
         if unknown:
             raise ValueError(f"unknown keys {sorted(unknown)}")
-        if not self.exists():
-            return self.spark.createDataFrame([], self.schema)
-        df = self.spark.read.schema(self.schema).parquet(self.path)
+        df = in_range(self._stored(), start, end)
         for k, v in keys.items():
             df = df.where(F.col(k) == v)
         if symbols is not None:
             df = df.where(F.col("symbol").isin(symbols)) if symbols else df.where("false")
-        return in_range(df, start, end)
+        for some in ([keys["symbol"]] if "symbol" in keys else None, symbols):
+            if some:
+                buckets = {zlib.crc32(str(s).encode()) % BUCKETS for s in some if s is not None}
+                # a store of the former layout, one folder per series, has no buckets and is read all the same
+                df = df.where(F.col("symbol_bucket").isin(sorted(buckets)) | F.col("symbol_bucket").isNull())
+        return df.drop("symbol_bucket")
+
+    def series(self, path: str) -> DataFrame:
+        """Bars of the series of a path of catalog()."""
+        found = _SERIES_PATH.fullmatch(path.removeprefix(self.path.rstrip("/")).lstrip("/"))
+        if not found:
+            raise ValueError(f"no series of this store: {path!r}")
+        return self.read(**dict(zip(KEYS, found.groups(), strict=True)))
 
     def _aligned(self, df: DataFrame) -> DataFrame:
         extra = set(df.columns) - set(self.schema.names)
@@ -140,34 +178,54 @@ class KlineStore:
             raise ValueError(f"columns {sorted(extra)} are not in the store's schema")
         return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema])
 
-    def write(self, df: DataFrame) -> None:
-        """Replace the partitions that df has rows of; the others stay. df must not be read lazily from this
-        store: upsert() takes care of that. A long series is a file for each year."""
-        year = F.floor(F.col("timestamp") / YEAR_MS)
-        rows = self._aligned(df).repartition(*KEYS, year).sortWithinPartitions(*KEYS, "timestamp")
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).parquet(self.path)
-
-    def upsert(self, new: DataFrame, mode: str = "latest") -> None:
-        """Merge new rows into their partitions; only those are read and written. Running it again changes
-        nothing. The merged rows are written aside before they replace what they were read from."""
-        new = self._aligned(new)
-        touched = new.select(*KEYS).distinct()
-        named = touched.limit(MAX_NAMED_SERIES + 1).collect()
-        old = self.read()
-        if len(named) <= MAX_NAMED_SERIES:
-            for k in KEYS:
-                old = old.where(F.col(k).isin(sorted({r[k] for r in named})))
-        old = old.join(touched, list(KEYS), "left_semi")
-        aside = stage(merged(old, new, mode), "merging")
+    def _replace(self, new: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """Put merge(stored rows, new) in the place of the folders that new has rows of. Both have a column __other, set
+        where a stored row is of a series that new has none of. The rows are written aside before they replace what
+        they were read from."""
+        if self.exists() and _former(self.spark, self.path):
+            raise RuntimeError(f"{self.path} has a folder for each series: read() it and write() it to another path")
+        new = new.withColumn("symbol_bucket", _bucket(F.col("symbol")))
+        folders = new.select(*FOLDERS).distinct()
+        named = folders.limit(MAX_NAMED_FOLDERS + 1).collect()
+        old = self._stored()
+        if len(named) <= MAX_NAMED_FOLDERS:
+            for k in FOLDERS:
+                values = {r[k] for r in named}
+                within = F.col(k).isin(sorted(values - {None}))
+                old = old.where(within | F.col(k).isNull() if None in values else within)
+        lost = folders.select(*[F.col(k).alias(f"__{k}") for k in FOLDERS])
+        old = old.join(lost, _same(old, lost, FOLDERS), "left_semi")
+        series = new.select(*[F.col(k).alias(f"__{k}") for k in KEYS]).distinct().withColumn("__touched", F.lit(True))
+        old = old.join(series, _same(old, series, KEYS), "left").withColumn("__other", F.when(F.col("__touched").isNull(), F.monotonically_increasing_id()))
+        old = old.drop("__touched", *[f"__{k}" for k in KEYS])
+        aside = stage(merge(old, new.withColumn("__other", F.lit(None).cast("long"))).drop("__other"), "merging")
         try:
-            self.write(aside)
+            # a bucket is a task's, or several tasks' if it is large
+            rows = aside.hint("rebalance", *[F.col(k) for k in FOLDERS]).sortWithinPartitions(*FOLDERS, "symbol", "timestamp")
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*FOLDERS).parquet(self.path)
         finally:
             unstage(aside)
 
+    def write(self, df: DataFrame) -> None:
+        """Replace the series that df has rows of; the others stay."""
+        self._replace(self._aligned(df), lambda old, new: old.where("__other is not null").unionByName(new))
+
+    def upsert(self, new: DataFrame, mode: str = "latest") -> None:
+        """Merge new rows into their series; only the folders of those are read and written, and other series in
+        them stay as they are. Running it again changes nothing."""
+        self._replace(self._aligned(new), lambda old, new: merged(old, new, mode, (*KEYS, "__other")))
+
     def high_water_mark(self) -> DataFrame:
         return high_water_mark(self.read())
 
     def catalog(self) -> DataFrame:
-        """(exchange, symbol, kline_type, interval, path) of every stored series."""
+        """(exchange, symbol, kline_type, interval, path) of every stored series. path names the series within the
+        store, and series() reads it; its rows lie in the files of its bucket."""
         part = F.concat_ws("/", F.lit(self.path.rstrip("/")), *[F.concat(F.lit(f"{k}="), F.col(k)) for k in KEYS])
         return self.read().select(*KEYS).distinct().withColumn("path", part)
+
+
+def _former(spark: SparkSession, path: str) -> bool:
+    """Whether the store at a path has a folder for each series."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/exchange=*/symbol=*")
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p))

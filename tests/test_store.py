@@ -43,6 +43,50 @@ def test_store_upserts_are_idempotent(spark, tmp_path):
         store.read(colour="red")
 
 
+def test_store_of_many_series_has_few_files(spark, tmp_path):
+    """The files do not grow with the series; a revision, or a rewrite, of some leaves the others in their folders alone."""
+    store = KlineStore(spark, str(tmp_path / "bars"))
+    base = klines.stamped(ingest.from_rows(spark, [raw(0), raw(100)]))
+    many = base.crossJoin(spark.range(2000).select(F.concat(F.lit("S"), "id").alias("symbol"))).withColumns({k: F.lit(v) for k, v in KEYS.items()})
+    store.upsert(many)
+    assert len(list((tmp_path / "bars").rglob("*.parquet"))) <= klines.BUCKETS
+    assert store.read().count() == 4000 and store.catalog().count() == 2000 == store.high_water_mark().count()
+    assert sorted((r["symbol"], r["timestamp"]) for r in store.read(["S7", "S1999"], 100).collect()) == [("S1999", 100), ("S7", 100)]
+    one = store.catalog().where("symbol = 'S7'").first()["path"]
+    assert one.endswith("/exchange=x/symbol=S7/kline_type=swap/interval=1h") and store.series(one).count() == 2
+    with pytest.raises(ValueError):
+        store.series("elsewhere")
+    # revisions that are kept stay when another series of the bucket is written
+    bucket = {s for s in (f"S{k}" for k in range(2000)) if klines.zlib.crc32(s.encode()) % klines.BUCKETS == klines.zlib.crc32(b"S7") % klines.BUCKETS}
+    other = max(bucket - {"S7"})
+    store.upsert(bars(spark, [raw(0, 5.0)], other), "exact")
+    for _ in range(2):
+        store.upsert(bars(spark, [raw(0, 9.0), raw(200)], "S7"))
+    assert sorted(r["close"] for r in store.read([other], 0, 0).collect()) == [2.0, 5.0]
+    assert sorted((r["timestamp"], r["close"]) for r in store.read(["S7"]).collect()) == [(0, 9.0), (100, 2.0), (200, 2.0)]
+    store.write(bars(spark, [raw(300)], "S7"))
+    assert [r["timestamp"] for r in store.read(symbol="S7").collect()] == [300] and store.read().count() == 4000
+
+
+def test_store_of_odd_series(spark, tmp_path):
+    """Missing and empty symbols and such with slashes are series like others; a former store is read, not mixed."""
+    store = KlineStore(spark, str(tmp_path / "bars"))
+    for _ in range(2):
+        for s in (None, "", "A/B=1"):
+            store.upsert(bars(spark, [raw(0), raw(100)], s).withColumn("symbol", F.lit(s).cast("string")))
+    assert sorted((str(r["symbol"]), r["timestamp"]) for r in store.read().collect()) == [("", 0), ("", 100), ("A/B=1", 0), ("A/B=1", 100), ("None", 0), ("None", 100)]
+    path = store.catalog().where("symbol = 'A/B=1'").first()["path"]
+    assert store.series(path).count() == 2 == store.read([""]).count()
+    former = KlineStore(spark, str(tmp_path / "former"))
+    bars(spark, [raw(0)]).write.partitionBy(*klines.KEYS).parquet(former.path)
+    assert former.read(["AUSDT"]).count() == 1 == former.read(symbol="AUSDT").count()
+    with pytest.raises(RuntimeError):
+        former.upsert(bars(spark, [raw(0)]))
+    moved = KlineStore(spark, str(tmp_path / "moved"))
+    moved.write(former.read())
+    assert moved.read(["AUSDT"]).count() == 1
+
+
 def test_exact_mode_keeps_revisions(spark):
     old, new = bars(spark, [raw(0), raw(100)]), bars(spark, [raw(0), raw(100, 7.0)])
     assert klines.merged(old, new, "exact").count() == 3
