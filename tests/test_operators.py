@@ -257,3 +257,14 @@ def test_scale_legs_and_quantile_drivers(panel):
     for r in rows:
         assert math.isclose(r["b"], math.tan(math.pi * (r["c"] - 0.5)))
     assert math.isclose(sum(r["d"] for r in rows), 0, abs_tol=1e-9)
+
+
+def test_quantile_of_many_symbols(spark):
+    """The far ends of large cross-sections, against the standard library."""
+    from panelforge.operators import cross_section as cs
+
+    n = 3000
+    df = spark.range(n).select(F.lit(0).alias("ts"), (F.col("id") * 7 % n).cast("double").alias("x"))
+    got = {r["x"]: r["q"] for r in df.select("x", cs.quantile(F.col("x")).alias("q")).collect()}
+    want = {float(k): NormalDist().inv_cdf(min(max((k + 1) / n, 0.5 / n), 1 - 0.5 / n)) for k in range(n)}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
