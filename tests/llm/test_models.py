@@ -169,6 +169,26 @@ def test_tree_of_a_bounded_size(spark, monkeypatch):
     assert all(math.isclose(a[i], b[i], rel_tol=1e-9) for i in a)
 
 
+
+def test_followers_too_many_to_list(spark, monkeypatch):
+    """Scores do not depend on what is listed: at any depth, dealt out to one part or to several."""
+    rng = random.Random(8)
+    prose_ = [" ".join(rng.choice(["a b c d", "e b c f", "a b", "g", "h i c", "e e"]) for _ in range(rng.randrange(30))) for _ in range(150)]
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(prose_)] + [(500, None, "", ""), (None, "a b c unseen d", "", "")], DOCS)
+    learnt = docs.where("doc_id < 120")
+    for depth in (1, 3):
+        whole, counts = suffixtree.train(learnt, depth=depth)
+        want = sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 8), round(r["score"], 8)) for r in suffixtree.score(docs, whole, counts).collect())
+        sizes = [len(x["entry"]) for x in whole.levels]
+        assert whole.rest is None and len(sizes) == depth and all(sizes) and any(r[3] != r[4] for r in want)
+        for most, part in ((1, 1 << 30), (1, 300), (30, 300)):
+            with monkeypatch.context() as m:
+                m.setattr(suffixtree, "MOST", most)
+                m.setattr(suffixtree, "PART", part)
+                some, again = suffixtree.train(learnt, depth=depth)
+                got = sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 8), round(r["score"], 8)) for r in suffixtree.score(docs, some, again).collect())
+            assert got == want and (some.rest is not None or most > 1)
+
 def test_states_are_distributions(spark):
     """What a state gives all known words and one unknown word sums to one."""
     rng = random.Random(4)
