@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm import packing, pii, quality, suffixtree, toxicity, urlfilter
 from panelforge.llm import queries as Q
+from panelforge.llm.common import staged
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, severity string, score string"
@@ -189,6 +190,43 @@ def test_followers_too_many_to_list(spark, monkeypatch):
                 got = sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 8), round(r["score"], 8)) for r in suffixtree.score(docs, some, again).collect())
             assert got == want and (some.rest is not None or most > 1)
 
+
+def test_learnt_texts_dealt_out_once(spark, monkeypatch):
+    """Scores do not depend on whether learnt texts are dealt out for both uses at once, nor on the blocks they are in."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["a b c d", "e b c f", "a b", "g", "h i c", "e e"]) for _ in range(rng.randrange(30))) for _ in range(150)]
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)] + [(500, None, "", ""), (500, None, "", ""), (None, "a b c unseen d", "", "")], DOCS).repartition(3, "text")
+    own = docs["doc_id"] % 3 < 2
+    whole, counts = suffixtree.train(docs.where(own))
+    rows = lambda *m, **k: sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 8), round(r["score"], 8)) for r in suffixtree.score(docs, *m, **k).collect())
+    want = rows(whole, counts)
+    monkeypatch.setattr(suffixtree, "MOST", 1)
+    monkeypatch.setattr(suffixtree, "PART", 300)
+    for deal, asked in ((1, 1), (400, 100), (1_000_000, 1_000_000)):
+        monkeypatch.setattr(suffixtree, "DEAL", deal)
+        monkeypatch.setattr(suffixtree, "ASKED", asked)
+        some, again = suffixtree.train(docs.where(own))
+        assert some.rest is not None and rows(some, again, learnt=own) == want and rows(some, again) == want
+
+
+def test_what_is_dealt_out_is_small(spark, monkeypatch):
+    """The bytes shuffled for a tree too large to be listed, a token."""
+    rng = np.random.default_rng(10)
+    words = (rng.zipf(1.3, size=(2000, 300)) % 20_000).tolist()
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in w), "", "") for i, w in enumerate(words)], DOCS).repartition(2, "doc_id")
+    docs = staged(docs, "docs")
+    monkeypatch.setattr(suffixtree, "MOST", 1)
+    monkeypatch.setattr(suffixtree, "PART", 200_000)
+
+    def written() -> int:
+        spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+
+    before = written()
+    tree, counts = suffixtree.train(docs.where("doc_id % 5 > 0"))
+    suffixtree.score(docs, tree, counts, learnt=docs["doc_id"] % 5 > 0).collect()
+    per_token = (written() - before) / (2000 * 301)
+    assert tree.rest is not None and per_token < 10
 def test_states_are_distributions(spark):
     """What a state gives all known words and one unknown word sums to one."""
     rng = random.Random(4)
