@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import parallelism, slices, staged, text_array
+from panelforge.llm.common import parallelism, slices, staged, text_array, trim
 
 TOKENIZER = "word_bpe_49k.json"
-#: Encoded words, and chunks of them, kept per worker; past it either memory starts anew.
-MEMORY, CHUNKS = 600_000, 400_000
+#: Encoded words, and chunks of them, kept per worker; past it either memory starts anew, and those of the one before
+#: that are met again move over. Longer ones than ``LONG`` characters are not kept, so that the memory is bounded in bytes.
+MEMORY, CHUNKS, LONG = 60_000, 60_000, 128
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
 
 
@@ -53,6 +54,8 @@ class Encoder:
         self.model = self.tok.model
         self.chunks: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.chunks_before: dict[str, bytes] = {}
+        self.parts_before: dict[str, bytes] = {}
         self.by_chunk = self._slow([_PROBE]) == [b"".join(self._chunk(c) for c in _PROBE.split())]
 
     def _slow(self, texts: list[str]) -> list[bytes]:
@@ -67,10 +70,14 @@ class Encoder:
         for p in [low] if low.isalpha() else _PARTS.findall(low):
             ids = self.parts.get(p)
             if ids is None:
-                if len(self.parts) > MEMORY:
-                    self.parts = {}
-                found = [t.id for t in self.model.tokenize(p if p.isascii() and p.isprintable() else p.translate(_LATIN))]
-                ids = self.parts[p] = struct.pack(f"<{len(found)}I", *found)
+                if len(self.parts) >= MEMORY:
+                    self.parts_before, self.parts = self.parts, {}
+                ids = self.parts_before.get(p)
+                if ids is None:
+                    found = [t.id for t in self.model.tokenize(p if p.isascii() and p.isprintable() else p.translate(_LATIN))]
+                    ids = struct.pack(f"<{len(found)}I", *found)
+                if len(p) <= LONG:
+                    self.parts[p] = ids
             out.append(ids)
         return b"".join(out) if len(out) != 1 else out[0]
 
@@ -83,8 +90,6 @@ class Encoder:
                 out += self._slow([t])
                 continue
             words = t.split()
-            if len(self.chunks) > CHUNKS:
-                self.chunks = {}
             try:
                 out.append(b"".join(map(self.chunks.__getitem__, words)))
             except KeyError:
@@ -92,7 +97,14 @@ class Encoder:
                 for w in words:
                     x = get(w)
                     if x is None:
-                        x = chunks[w] = self._chunk(w)
+                        if len(chunks) >= CHUNKS:
+                            self.chunks_before, self.chunks = chunks, {}
+                            chunks, get = self.chunks, self.chunks.get
+                        x = self.chunks_before.get(w)
+                        if x is None:
+                            x = self._chunk(w)
+                        if len(w) <= LONG:
+                            chunks[w] = x
                     ids.append(x)
                 out.append(b"".join(ids))
         return out
@@ -116,6 +128,9 @@ def _pieces(path: str | None, capacity: int, id_col: str, text_col: str):
                         rows.append((doc, k, s, len(part) // 4, zlib.crc32(part)))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["id", "piece", "start", "length", "crc"])
+            trim()
+        del enc
+        trim()
 
     return run
 
